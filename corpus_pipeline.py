@@ -1,12 +1,71 @@
-"""A corpus pipeline over the ten operators; each stage's result is written and read by the next."""
+"""A corpus pipeline over the operators of ``tablewarden.llm``.
+
+``STAGES`` lists the stages in order. Each takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
+written as Parquet and read again as the next stage's ``docs``. All but the last keep the columns of
+``documents``. Rows that share a ``doc_id`` are one document and stay or go together where a decision is
+made by id; null and empty texts pass through every stage and are packed as their end id alone; empty
+tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewarden.llm import decontamination, near_join, packing, pii, toxicity
+from tablewarden.llm.queries import vocabulary
+from tablewarden.llm.shared import stored
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts as toxic go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = toxicity.score(docs, model, keep=docs.columns)
+    return judged.where("predicted = 0").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that n-gram Jaccard links connect, the one with the smallest id stays."""
+    classes = near_join.near_classes(docs)
+    gone = stored(classes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id"), "near-gone")
+    small = gone.count() <= near_join.BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    judged = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
+    return judged.where("not contaminated").select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in angle brackets; ``n_chars`` follows the text."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences of 2048 ids."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near duplicates", one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("personal data", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL has neither the tokenizer nor the fitted models; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the table ``documents`` of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, "pipeline-" + name.replace(" ", "-"))
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, pii, quality, token_counts, token_files, toxicity, url_filters
+from . import decontamination, near_join, packing, pii, quality, token_counts, token_files, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(_table(spark, sf_dir, "documents"), percent=80)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
@@ -55,5 +59,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_packing, op5_toxicity, op6_url_filters, op7_quality_rules, op9_token_files, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_join, op3_decontamination, op4_packing, op5_toxicity, op6_url_filters, op7_quality_rules, op9_token_files, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
