@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_join, packing, pii, quality, token_counts, token_files, toxicity, url_filters
+from . import decontamination, near_join, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(_table(spark, sf_dir, "documents"), host="source")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, length=2048)
 
@@ -59,5 +63,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_join, op3_decontamination, op4_packing, op5_toxicity, op6_url_filters, op7_quality_rules, op9_token_files, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_join, op3_decontamination, op4_packing, op5_toxicity, op6_url_filters, op7_quality_rules, op8_substring_dedup, op9_token_files, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
