@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -186,6 +186,11 @@ def _tree_task(percent: int):
     return join
 
 
+def _upto(n: Column) -> Column:
+    """One row for each of 0 to n - 1."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+
+
 def _tree_links(sets: DataFrame, percent: int, task_shingles: int) -> DataFrame:
     """Links between the sets of each component (``component, node, n, values``)."""
     task = _tree_task(percent)
@@ -203,7 +208,7 @@ def _tree_links(sets: DataFrame, percent: int, task_shingles: int) -> DataFrame:
     blocks = F.ceil(F.col("total") / F.lit(task_shingles // 2))
     rows = sets.join(large, "component").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)))
     pivots = rows.groupBy("component", "salt").agg(F.min("node").alias("node")).drop("salt")
-    shared = rows.join(pivots, ["component", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).cast("long"))
+    shared = rows.join(pivots, ["component", "node"]).withColumn("block", _upto(blocks))
     first = rows.unionByName(shared).withColumn("label", F.col("node")).select("block", *fields)
     found = stored(found.union(first.groupBy("component", "block").applyInArrow(task, "u long, v long")), "links")
     # what the pivots did not bring into the group's main component meets every block
@@ -213,9 +218,8 @@ def _tree_links(sets: DataFrame, percent: int, task_shingles: int) -> DataFrame:
     named = stored(named.join(main, "component"), "large-sets")
     rest = named.where("label <> main")
     chunks = rest.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(task_shingles // 2)).alias("chunks"))
-    pairs = F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))
-    left = named.join(chunks, "component").withColumn("chunk", pairs.cast("long"))
-    right = rest.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).cast("long"))
+    left = named.join(chunks, "component").withColumn("chunk", _upto(F.col("chunks")))
+    right = rest.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks"))).withColumn("block", _upto(blocks))
     second = left.unionByName(right).select("block", "chunk", *fields)
     return found.union(second.groupBy("component", "block", "chunk").applyInArrow(task, "u long, v long"))
 
