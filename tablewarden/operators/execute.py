@@ -1,7 +1,7 @@
 """Runs a contract over a frame.
 
-Round one is one aggregation for all slots and the profile, beside one grouped job per exact distinct
-count or key check; independent jobs are submitted together. Round two fetches samples for failed checks.
+Round one is one aggregation for all slots and the profile, one for its distinct-value sketches, and one
+grouped job per exact distinct count or key check; independent jobs are submitted together. Round two fetches samples for failed checks.
 A user's expression that fails while it runs is evaluated again by itself, so it fails alone.
 """
 
@@ -121,14 +121,21 @@ class Run:
 
     # round one
 
-    def _aggregate(self) -> dict[str, Any]:
+    def _slots(self) -> tuple[dict[str, Any], dict[str, Any]]:
+        """Plain aggregates, which compile into one loop, and sketches, which would keep them from it."""
         slots = dict(self.planner.slots.expressions)
         if self.profile_names:
             slots |= profile_slots(self.frame, self.profile_names, self.typed)
+        sketches = {k for k in slots if k in self.planner.slots.sketches or k.endswith("_distinct")}
+        return {k: e for k, e in slots.items() if k not in sketches}, {k: slots[k] for k in slots if k in sketches}
+
+    def _aggregate(self, slots: dict[str, Any]) -> dict[str, Any]:
+        if not slots:
+            return {}
         try:
             return self.frame.agg(*(e.alias(k) for k, e in slots.items())).first().asDict()
         except Exception:
-            users = {s for c in self.checks for s in c.user_slots}
+            users = {s for c in self.checks for s in c.user_slots} & slots.keys()
             if not users:
                 raise
         # one of the user's expressions fails on these data: all others together, then each by itself
@@ -175,9 +182,10 @@ class Run:
             elif c.job:
                 jobs.append((c, c))
         with ThreadPoolExecutor(max_workers=8) as pool:
-            fused = pool.submit(self._aggregate)
+            plain, sketches = self._slots()
+            fused, estimates = pool.submit(self._aggregate, plain), pool.submit(self._aggregate, sketches)
             running = {id(first): pool.submit(self._job, first) for _, first in jobs}
-            values = fused.result()
+            values = fused.result() | estimates.result()
             answers = {id(c): running[id(first)].result() for c, first in jobs}
         self.values = values
         results = [CheckResult(c.id, c.column, c.kind, c.params, c.severity, self._outcome(c, values, answers.get(id(c)))) for c in self.checks]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contract.model import number, render
-from ..functions.typed import DATE_SHAPE, DATETIME_SHAPE, FALSE_WORDS, FLOAT_SHAPE, TRUE_WORDS, as_text, nested_kind, trimmed
+from ..functions.typed import DATE_SHAPE, DATETIME_SHAPE, FALSE_WORDS, FLOAT_SHAPE, TRUE_WORDS, as_text, nested_kind, sketched, trimmed
 from ..plans.planner import NestedColumnError, name_of
 
 MOST_VALUES, LONGEST_VALUE = 25, 64
@@ -83,7 +83,7 @@ def profile_slots(frame: DataFrame, names: list[str], typed: bool, exact: bool =
         out |= {f"p{i}_full": F.count(text), f"p{i}_numbers": F.count(value), f"p{i}_least": F.min(value), f"p{i}_most": F.max(value), f"p{i}_mean": F.avg(value), f"p{i}_std": F.stddev_samp(value)}
         out |= {f"p{i}_first": F.min(text), f"p{i}_last": F.max(text), f"p{i}_short": F.min(length), f"p{i}_long": F.max(length)}
         if not exact:
-            out[f"p{i}_distinct"] = F.approx_count_distinct(text, 0.0081)
+            out[f"p{i}_distinct"] = sketched(text)
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..contract.model import Check, Contract, number, render
 from ..functions.formats import bad_format
 from ..functions.patterns import java_pattern
-from ..functions.typed import accepts, as_text, native, nested_kind, parse_text
+from ..functions.typed import accepts, as_text, native, nested_kind, parse_text, sketched
 
 
 class NestedColumnError(ValueError):
@@ -78,12 +78,15 @@ class Slots:
     def __init__(self) -> None:
         self.by_text: dict[str, str] = {}
         self.expressions: dict[str, Expr] = {}
+        self.sketches: set[str] = set()
 
-    def add(self, expression: Expr) -> str:
+    def add(self, expression: Expr, sketch: bool = False) -> str:
         text = str(expression)
         if text not in self.by_text:
             self.by_text[text] = f"s{len(self.by_text)}"
             self.expressions[self.by_text[text]] = expression
+            if sketch:
+                self.sketches.add(self.by_text[text])
         return self.by_text[text]
 
     def rows(self) -> str:
@@ -229,7 +232,7 @@ class Planner:
         if not approx:
             self.checks.append(Planned(*base, job=("distinct", cells.raw), bad=cells.raw.isNotNull(), value=cells.raw, read=lambda v: _unique_outcome(v[full], v["distinct"])))
             return
-        sketch = self.slots.add(F.approx_count_distinct(cells.raw, 0.0081))
+        sketch = self.slots.add(sketched(cells.raw), sketch=True)
 
         def read(v: Values) -> Outcome:
             estimate, n = min(v[sketch], v[full]), v[full]
