@@ -1,4 +1,4 @@
-"""Command line: init, check, diff, validate-contract, export, import, schema.
+"""Command line: init, check, diff, validate-contract, export, import, mcp.
 
 Exit codes: 0 passed, 1 checks failed or a breaking difference, 2 usage or contract error, 3 internal.
 """
@@ -99,6 +99,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("document")
     p.add_argument("--table")
     p.add_argument("--output", "-o")
+    sub.add_parser("mcp", help="serve explain, check and diff as tools over standard input and output")
     return top
 
 
@@ -197,12 +198,19 @@ def _import(a: argparse.Namespace) -> int:
     return PASSED
 
 
+def _mcp(a: argparse.Namespace) -> int:
+    from .server import serve
+
+    serve()
+    return PASSED
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         a = parser().parse_args(argv)
     except SystemExit as e:
         return USAGE if e.code else PASSED
-    commands = {"init": _init, "check": _check, "diff": _diff, "validate-contract": _validate, "export": _export, "import": _import}
+    commands = {"init": _init, "check": _check, "diff": _diff, "validate-contract": _validate, "export": _export, "import": _import, "mcp": _mcp}
     try:
         return commands[a.command](a)
     except (ValueError, OSError) as e:  # contracts, options and sources that cannot be used
