@@ -10,7 +10,6 @@ import zlib
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from tablewarden.llm import pii, quality, toxicity, url_filters
 
