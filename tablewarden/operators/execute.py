@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..contract.model import Contract
 from ..contract.parse import dump_contract
-from ..plans.planner import Outcome, Planned, Planner, _first_line, _unique_outcome, cannot_run, name_of
+from ..plans.planner import Outcome, Planned, Planner, _first_line, cannot_run, name_of
 from ..session import pinned
 from . import keys as key_jobs
 from . import samples
