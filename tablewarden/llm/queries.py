@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, near_join, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity, url_filters
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +65,3 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_join, op3_decontamination, op4_packing, op5_toxicity, op6_url_filters, op7_quality_rules, op8_substring_dedup, op9_token_files, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
