@@ -26,7 +26,7 @@ from ..session import pinned
 from . import keys as key_jobs
 from . import samples
 from .keys import KeySet
-from .profile import ColumnProfile, fill_values, profile_slots, profiled_columns, read_profile
+from .profile import ColumnProfile, fill_values, prepared, profile_slots, profiled_columns, read_profile
 
 CHECK_SCHEMA = (
     "id string, column string, kind string, params string, severity string, status string, rows_evaluated long, rows_failed long, "
@@ -117,6 +117,7 @@ class Run:
         self.planner = Planner(contract, frame, typed, now_micros, references, strict_freshness)
         self.checks = self.planner.plan()
         self.profile_names = profiled_columns(frame) if profile else []
+        self.wide = prepared(frame, self.profile_names, typed)
         self.typed, self.profile, self.values = typed, None, {}
 
     # round one
@@ -125,7 +126,7 @@ class Run:
         """Plain aggregates, which compile into one loop, and sketches, which would keep them from it."""
         slots = dict(self.planner.slots.expressions)
         if self.profile_names:
-            slots |= profile_slots(self.frame, self.profile_names, self.typed)
+            slots |= profile_slots(self.profile_names)
         sketches = {k for k in slots if k in self.planner.slots.sketches or k.endswith("_distinct")}
         return {k: e for k, e in slots.items() if k not in sketches}, {k: slots[k] for k in slots if k in sketches}
 
@@ -133,16 +134,16 @@ class Run:
         if not slots:
             return {}
         try:
-            return self.frame.agg(*(e.alias(k) for k, e in slots.items())).first().asDict()
+            return self.wide.agg(*(e.alias(k) for k, e in slots.items())).first().asDict()
         except Exception:
             users = {s for c in self.checks for s in c.user_slots} & slots.keys()
             if not users:
                 raise
         # one of the user's expressions fails on these data: all others together, then each by itself
-        row = self.frame.agg(*(e.alias(k) for k, e in slots.items() if k not in users)).first().asDict()
+        row = self.wide.agg(*(e.alias(k) for k, e in slots.items() if k not in users)).first().asDict()
         for slot in users:
             try:
-                row[slot] = self.frame.agg(slots[slot].alias("v")).first()["v"]
+                row[slot] = self.wide.agg(slots[slot].alias("v")).first()["v"]
             except Exception as e:  # noqa: BLE001
                 row[slot] = e
         return row

@@ -73,12 +73,19 @@ def profiled_columns(frame: DataFrame, strict: bool = False) -> list[str]:
     return names
 
 
-def profile_slots(frame: DataFrame, names: list[str], typed: bool, exact: bool = False) -> dict[str, Column]:
-    """Aggregates of every column by slot name; exact distinct counts are left to grouped jobs."""
+def prepared(frame: DataFrame, names: list[str], typed: bool) -> DataFrame:
+    """The frame with each profiled column's text, number and length beside it: they are used by many
+    aggregates, and parsing a cell once is what a profile costs."""
+    texts = {f"__t{i}": text_of(frame, n, typed) for i, n in enumerate(names)}
+    numbers = {f"__v{i}": _number_of(frame, n, texts[f"__t{i}"]) for i, n in enumerate(names)}
+    return frame.withColumns(texts | numbers)
+
+
+def profile_slots(names: list[str], exact: bool = False) -> dict[str, Column]:
+    """Aggregates over a prepared frame by slot name; exact distinct counts are left to grouped jobs."""
     out: dict[str, Column] = {"p_rows": F.count(F.lit(1))}
-    for i, name in enumerate(names):
-        text = text_of(frame, name, typed)
-        value = _number_of(frame, name, text)
+    for i in range(len(names)):
+        text, value = F.col(f"__t{i}"), F.col(f"__v{i}")
         length = F.char_length(text)
         out |= {f"p{i}_full": F.count(text), f"p{i}_numbers": F.count(value), f"p{i}_least": F.min(value), f"p{i}_most": F.max(value), f"p{i}_mean": F.avg(value), f"p{i}_std": F.stddev_samp(value)}
         out |= {f"p{i}_first": F.min(text), f"p{i}_last": F.max(text), f"p{i}_short": F.min(length), f"p{i}_long": F.max(length)}
@@ -129,12 +136,13 @@ def profile_frame(frame: DataFrame, typed: bool = False) -> list[ColumnProfile]:
     """The profile that drafts are made from: exact distinct counts, inferred types and formats. Nested
     columns are refused."""
     names = profiled_columns(frame, strict=True)
-    slots = profile_slots(frame, names, typed, exact=True)
-    for i, name in enumerate(names):
-        text = text_of(frame, name, typed)
+    wide = prepared(frame, names, typed)
+    slots = profile_slots(names, exact=True)
+    for i in range(len(names)):
+        text = F.col(f"__t{i}")
         slots |= {f"d{i}_{k}": F.count(F.when(c, 1)) for k, c in detectors(text).items()}
         slots |= {f"f{i}_{k}": F.count(F.when(text.rlike(p), 1)) for k, p in _INIT_FORMATS.items()}
-    row = frame.agg(*(e.alias(k) for k, e in slots.items())).first().asDict()
+    row = wide.agg(*(e.alias(k) for k, e in slots.items())).first().asDict()
     distinct = {n: frame.select(text_of(frame, n, typed).alias("v")).dropna().distinct().count() for n in names}
     out = read_profile(row, names, distinct)
     for i, p in enumerate(out):
