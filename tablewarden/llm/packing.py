@@ -63,7 +63,8 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, window: int = 20
     ids = stored(encoded(documents, tokenizer, end_id), "packing-ids")
     totals = ids.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per input partition
-    offsets = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    # written first: its known size lets the planner send it to the ids, and not the ids to it
+    offsets = stored(totals.select("part", F.coalesce(before, F.lit(0)).alias("before")), "packing-offsets")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
