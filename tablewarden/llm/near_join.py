@@ -85,14 +85,18 @@ class Postings:
 
 
 def chained(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One (key, node) of every key, and distinct edges that chain all nodes of a key."""
+    """The least node of every key, and distinct edges from it to all other nodes of the key."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
-    same = keys[1:] == keys[:-1]
-    at = np.flatnonzero(same & (nodes[1:] != nodes[:-1]))
-    edges = np.unique(np.stack([nodes[at], nodes[at + 1]], axis=1), axis=0) if len(at) else np.empty((0, 2), np.uint64)
-    first = np.append(True, ~same)
-    return keys[first], nodes[first], edges
+    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
+    least = nodes[first][np.cumsum(first) - 1] if len(keys) else nodes
+    at = np.flatnonzero(nodes != least)
+    if not len(at):
+        return keys[first], nodes[first], np.empty((0, 2), np.uint64)
+    # distinct edges by one sort of a fingerprint: far cheaper than by rows
+    u, v = least[at], nodes[at]
+    _, pick = np.unique(mix(u) + v * np.uint64(3), return_index=True)
+    return keys[first], nodes[first], np.stack([u[pick], v[pick]], axis=1)
 
 
 _PASS = "doc_id long, n long, s1 long, s2 long, bucket long, blob binary, u long, v long"
