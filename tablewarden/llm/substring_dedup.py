@@ -23,7 +23,7 @@ from .shared import stored
 from .words import BLANK_SEPARATED, Words, shingles, text_chunks, words_of
 
 SHINGLE = 5
-#: A line pair at similarity 0.8 misses all bands with probability 2e-3, one at 0.9 with 1e-7.
+#: A line pair at similarity 0.8 misses all bands with probability 2e-3, one at 0.9 with 3e-6.
 BANDS, ROWS = 12, 4
 #: Words that a paragraph has at least.
 LEAST_WORDS = 30
@@ -165,7 +165,9 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, perc
     small = wanted.count() <= BROADCAST_ROWS // 4
     sets = rows.join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "wanted").mapInArrow(_line_sets(least_words), "component long, node long, n long, values binary")
     near = components(_tree_links(stored(sets.dropDuplicates(["component", "node"]), "passage-sets"), percent, TASK_SHINGLES))
-    # classes that occur more than once: sums before the rows are dealt out
+    # paragraphs that can have a double: a count by node first, so that all others leave before they are dealt out
+    several = units.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node").union(near.select("node")).distinct()
+    units = stored(units.join(several, "node"), "passages-several")
     place = F.struct("doc_id", "start")
     counted = units.groupBy("node").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     named = counted.join(near, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
