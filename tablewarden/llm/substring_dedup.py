@@ -1,10 +1,11 @@
-"""Repeated passages: paragraphs that many documents share, found exactly and nearly.
+"""Repeated passages: runs of words that stand in several places, found exactly, and near copies of lines.
 
-A text's paragraphs are its lines, and from every sentence start the shortest run of whole sentences with
-enough words: a passage that was pasted into other text has such a run inside wherever it stands. Equal
-shingle sets meet by their fingerprint. Different lines meet by min-hash bands tuned for high recall, are
-verified by exact Jaccard similarity (see ``signature_tree``), and connected lines form one class. Of each
-class the first occurrence stays; the others are merged into spans to remove.
+Every run of enough words (a window) has an anchor that its content decides, and neighbours with one anchor
+form a stretch. Stretches meet whole by their fingerprint; where different stretches share an anchor, at the ends of
+a passage, their windows meet one by one. So a repeated passage is found to its full length wherever it
+begins and ends. Lines meet by their shingle sets too: by min-hash bands tuned for high recall, verified by
+exact Jaccard similarity (see ``signature_tree``), and connected lines form one class. Of each class the first
+occurrence stays; the others are merged into spans to remove.
 """
 
 from __future__ import annotations
@@ -19,42 +20,76 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .near_join import BROADCAST_ROWS, BUCKET_POSTINGS, TASK_SHINGLES, Postings, _meet, _tree_links, band_keys, set_ids
+from .pretokens import mix
 from .shared import stored
 from .words import BLANK_SEPARATED, Words, shingles, text_chunks, words_of
 
 SHINGLE = 5
 #: A line pair at similarity 0.8 misses all bands with probability 2e-3, one at 0.9 with 3e-6.
 BANDS, ROWS = 12, 4
-#: Words that a paragraph has at least.
+#: Words that a passage has at least.
 LEAST_WORDS = 30
 
-_END = np.zeros(256, dtype=bool)
-_END[[ord(c) for c in ".!?"]] = True
+_ODD = mix(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-def paragraphs(words: Words, raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word, end word, and whether it is a line, of every paragraph of a run of texts."""
+def _owners(words: Words) -> np.ndarray:
+    return np.repeat(np.arange(len(words.bounds) - 1), words.counts)
+
+
+def lines_of(words: Words, raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and end word of every line with enough words."""
     n = len(words.hashes)
     if not n:
-        return *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, bool)
-    lines = np.concatenate([[0], np.cumsum(raw == 10)])
-    owner = np.repeat(np.arange(len(words.bounds) - 1), words.counts)
-    place = lines[words.starts]
-    new_text = np.append(True, owner[1:] != owner[:-1])
-    new_line = new_text | np.append(True, place[1:] != place[:-1])
-    begin = new_line | np.append(True, _END[raw[words.ends[:-1] - 1]])
-    starts = np.flatnonzero(begin)
-    stops = np.append(starts[1:], n)  # sentence ends
-    reach = np.searchsorted(stops, starts + least)
-    fits = reach < len(stops)
-    first, last = starts[fits], stops[reach[fits]]
-    inside = owner[first] == owner[last - 1]
-    first, last = first[inside], last[inside]
-    line_first = np.flatnonzero(new_line)
-    line_last = np.append(line_first[1:], n)
-    long = line_last - line_first >= least
-    a, b = np.append(first, line_first[long]), np.append(last, line_last[long])
-    return owner[a], a, b, np.append(np.zeros(len(first), bool), np.ones(long.sum(), bool))
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    owner = _owners(words)
+    place = np.concatenate([[0], np.cumsum(raw == 10)])[words.starts]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])))
+    last = np.append(first[1:], n)
+    long = last - first >= least
+    return owner[first[long]], first[long], last[long]
+
+
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all runs of ``size`` words, by their first word (runs across texts included)."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    step = 1
+    while 2 * step <= size:
+        hashes, step = mix(hashes[:-step] + hashes[step:] * _ODD[0]), 2 * step
+    return mix(hashes[:n] + hashes[size - step : size - step + n] * _ODD[1] + np.uint64(size))
+
+
+def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
+    n, step = len(keys) - width + 1, 1
+    while 2 * step <= width:
+        keys, step = np.minimum(keys[:-step], keys[step:]), 2 * step
+    return np.minimum(keys[:n], keys[width - step : width - step + n])
+
+
+def stretches(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window, last window, fingerprint and anchor of every stretch, and all windows' fingerprints.
+
+    A window is a run of ``least`` words. Its anchor is the least of its short runs, the leftmost if several are:
+    its content alone decides. Neighbours with one and the same anchor are a stretch, so all windows of a text
+    are in stretches, each in one, and no window stands twice in a stretch.
+    """
+    n = len(words.hashes) - least + 1
+    none = np.empty(0, np.int64)
+    if n <= 0:
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
+    short = max(least // 3, 1)
+    grams, windows, owner = runs(words.hashes, short), runs(words.hashes, least), _owners(words)
+    anchors = (_sliding_least((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), least - short + 1) & _LOW).astype(np.int64)
+    at = np.flatnonzero(owner[:n] == owner[least - 1 :])
+    anchor = anchors[at]
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))[: len(at)]
+    first, last = at[new], at[np.append(new[1:], True)[: len(at)]]
+    # the first and the last window cover a stretch: it has fewer than twice their words
+    node = mix(windows[first] + mix(windows[last]) * _ODD[0] + (last - first).astype(np.uint64))
+    return owner[first], first, last, node, grams[anchor[new]], windows
 
 
 def _paragraph_sets(words: Words, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +110,12 @@ def _code_points(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
 
-_UNITS = "doc_id long, start long, end long, node long, line boolean, bucket long, blob binary, u long, v long"
+_UNITS = "doc_id long, start long, end long, node long, anchor long, bucket long, blob binary, u long, v long"
 
 
 def _scan(least: int, buckets: int):
     names = [x.split()[0] for x in _UNITS.split(", ")]
-    kinds = [*(pa.int64(),) * 4, pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    kinds = [*(pa.int64(),) * 6, pa.binary(), pa.int64(), pa.int64()]
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in zip(names, kinds, strict=True)], names=names)
@@ -99,16 +134,24 @@ def _scan(least: int, buckets: int):
             text = pc.fill_null(batch.column(1), "")
             for first, last, raw, ends in text_chunks(text):
                 words = words_of(raw, ends, BLANK_SEPARATED)
-                owner, a, b, line = paragraphs(words, raw, least)
+                points = _code_points(raw)
+
+                def units_of(owner, a, b, node, **more) -> pa.RecordBatch:
+                    base = points[ends[owner]]
+                    doc = batch.column(0).slice(first, last - first).take(pa.array(owner))
+                    return batch_of(len(a), doc_id=doc, start=pa.array(points[words.starts[a]] - base), end=pa.array(points[words.ends[b - 1]] - base), node=pa.array(node.view(np.int64)), **more)
+
+                owner, head, tail, node, anchor, _ = stretches(words, least)
+                if not len(owner):
+                    continue
+                yield units_of(owner, head, tail + least, node, anchor=pa.array(anchor.view(np.int64)))
+                owner, a, b = lines_of(words, raw, least)
                 if not len(a):
                     continue
                 values, bounds = _paragraph_sets(words, a, b)
                 s1, _ = set_ids(values, bounds)
-                points = _code_points(raw)
-                base = points[ends[owner]]
-                doc = batch.column(0).slice(first, last - first).take(pa.array(owner))
-                yield batch_of(len(a), doc_id=doc, start=pa.array(points[words.starts[a]] - base), end=pa.array(points[words.ends[b - 1]] - base), node=pa.array(s1.view(np.int64)), line=pa.array(line))
-                new = [i for i in np.flatnonzero(line).tolist() if (x := int(s1[i])) not in seen and not seen.add(x)]
+                yield units_of(owner, a, b, s1)
+                new = [i for i, x in enumerate(s1.tolist()) if x not in seen and not seen.add(x)]
                 if new:
                     some = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in new])
                     postings.add(band_keys(some, np.concatenate([[0], np.cumsum(np.diff(bounds)[new])]), BANDS, ROWS), s1[new])
@@ -128,8 +171,7 @@ def _line_sets(least: int):
             wanted = batch.column(1).to_pylist()
             for first, _, raw, ends in text_chunks(text):
                 words = words_of(raw, ends, BLANK_SEPARATED)
-                owner, a, b, line = paragraphs(words, raw, least)
-                a, b, owner = a[line], b[line], owner[line]
+                owner, a, b = lines_of(words, raw, least)
                 if not len(a):
                     continue
                 values, bounds = _paragraph_sets(words, a, b)
@@ -144,11 +186,36 @@ def _line_sets(least: int):
     return scan
 
 
+def _windows(least: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, wanted = pc.fill_null(batch.column(1), ""), batch.column(2)
+            for first, last, raw, ends in text_chunks(text):
+                words = words_of(raw, ends, BLANK_SEPARATED)
+                owner, head, tail, node, _, windows = stretches(words, least)
+                node, cuts = node.view(np.int64), np.searchsorted(owner, np.arange(last - first + 1))
+                asked = np.zeros(len(owner), bool)
+                for i in range(last - first):
+                    asked[cuts[i] : cuts[i + 1]] = np.isin(node[cuts[i] : cuts[i + 1]], np.asarray(wanted[first + i].values))
+                if not asked.any():
+                    continue
+                head, size = head[asked], (tail - head)[asked] + 1
+                at = np.repeat(head - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                owner = np.repeat(owner[asked], size)
+                points = _code_points(raw)
+                base = points[ends[owner]]
+                doc = batch.column(0).slice(first, last - first).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(points[words.starts[at]] - base), pa.array(points[words.ends[at + least - 1]] - base), pa.array(windows[at].view(np.int64))], names=["doc_id", "start", "end", "node"])
+
+    return scan
+
+
 def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, percent: int = 80) -> DataFrame:
     """``doc_id, start, end, class_id, keep_doc_id``: spans (code points, end exclusive) that repeat an
     earlier passage, and the document that keeps it.
 
-    A class's first occurrence, by ``doc_id`` and place, stays. Overlapping spans of a document are merged
+    Every run of ``least_words`` words that stands earlier is in a span, wherever it begins, and so is a line
+    whose near copy stands earlier. A class's first occurrence, by ``doc_id`` and place, stays. Overlapping spans of a document are merged
     and carry the least class and the least keeping document. Rows that share a ``doc_id`` are one document.
     Texts without a paragraph of ``least_words`` words, null and empty texts and rows without ``doc_id``
     give no rows; an empty table gives an empty result; other columns play no part.
@@ -156,18 +223,27 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, perc
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(documents.count() * BANDS * 8 // BUCKET_POSTINGS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scanned = stored(rows.mapInArrow(_scan(least_words, buckets), _UNITS), "passages")
-    units = scanned.where("node is not null").select("doc_id", "start", "end", "node", "line")
+    units = scanned.where("node is not null").select("doc_id", "start", "end", "node", "anchor")
     met = scanned.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "u long, v long")
     groups = components(scanned.where("u is not null").select("u", "v").union(met))
     # lines that collided: their sets are read again from the one document that stands for each
-    source = units.where("line").join(groups, "node").groupBy("component", "node").agg(F.min("doc_id").alias("doc_id"))
+    source = units.where("anchor is null").join(groups, "node").groupBy("component", "node").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(source.groupBy("doc_id").agg(F.collect_list(F.struct("component", "node")).alias("wanted")), "passage-lines")  # at most a document's lines
     small = wanted.count() <= BROADCAST_ROWS // 4
     sets = rows.join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "wanted").mapInArrow(_line_sets(least_words), "component long, node long, n long, values binary")
     near = components(_tree_links(stored(sets.dropDuplicates(["component", "node"]), "passage-sets"), percent, TASK_SHINGLES))
-    # paragraphs that can have a double: a count by node first, so that all others leave before they are dealt out
-    several = units.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node").union(near.select("node")).distinct()
-    units = stored(units.join(several, "node"), "passages-several")
+    # units that can have a double: a count by node first, so that all others leave before they are dealt out
+    counts = stored(units.groupBy("node", "anchor").agg(F.count(F.lit(1)).alias("n")), "passage-counts")
+    # different stretches with one anchor: their windows are compared one by one, in the document that stands for each
+    shared = counts.where("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
+    mixed = units.join(counts.join(shared, "anchor").select("node", "anchor"), ["node", "anchor"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    asked = stored(mixed.groupBy("doc_id").agg(F.collect_list("node").alias("asked")), "passage-stretches")  # at most a document's stretches
+    small = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    windows = rows.join(F.broadcast(asked) if small else asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(least_words), "doc_id long, start long, end long, node long")
+    windows = stored(windows, "passage-windows")
+    again = windows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    several = counts.where("n > 1").select("node").union(near.select("node")).distinct()
+    units = stored(units.select("doc_id", "start", "end", "node").join(several, "node").unionByName(windows.join(again, "node")), "passages-several")
     place = F.struct("doc_id", "start")
     counted = units.groupBy("node").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     named = counted.join(near, "node", "left").withColumn("class_id", F.coalesce("component", "node"))

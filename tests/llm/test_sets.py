@@ -183,3 +183,35 @@ def test_repeated_passages(spark):
             assert len(set(texts[x.doc_id][x.start : x.end].split()) & set(passages[k].split())) >= 30
             assert passages[k].split()[0] in texts[x.doc_id][x.start : x.end]
     assert substring_dedup.repeated_passages(frame.limit(0)).collect() == []
+
+
+def brute_windows(docs, least):
+    """Words (by document and place) of every run of ``least`` words that stands earlier."""
+    seen, out = set(), set()
+    for d, t in sorted(docs):
+        w = lower(t).split()
+        for i in range(len(w) - least + 1):
+            key = tuple(w[i : i + least])
+            if key in seen:
+                out |= {(d, j) for j in range(i, i + least)}
+            seen.add(key)
+    return out
+
+
+def test_passages_cut_anywhere(spark):
+    r = random.Random(5)
+    say = lambda n: [f"é{r.randrange(10**6)}" + r.choice(("", "", "", ".", '."')) for _ in range(n)]
+    bare = [f"w{i}" for i in range(90)]
+    docs = []
+    for i in range(80):
+        a = r.randrange(40)
+        part = (bare if i % 2 else docs[r.randrange(i)][1].split() if i else bare)[a : a + r.randint(29, 50)]
+        docs.append((i, " ".join(say(r.randint(0, 40)) + part + say(r.randint(0, 60)))))
+    docs += [(80, "a " * 100), (81, "b c d e f g h " * 12), (82, " ".join(bare * 2)), (83, " ".join(bare[:29]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got, texts = set(), dict(docs)
+    for x in substring_dedup.repeated_passages(frame, percent=100).collect():
+        text = texts[x.doc_id]
+        before = len(text[: x.start].split())
+        got |= {(x.doc_id, before + j) for j in range(len(text[x.start : x.end].split()))}
+    assert got == brute_windows(docs, 30)
