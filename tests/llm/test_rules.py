@@ -130,6 +130,16 @@ def test_urls(spark):
     assert url_filters.judge_urls(pages.limit(0), RULES).collect() == []
 
 
+def test_distrust_does_not_shrink_with_the_number_of_linking_hosts(spark):
+    bad, fine = '<a href="http://bad.org/x">', "".join(f'<a href="http://fine{i}.info/">' for i in range(3))
+    rows = [(0, "http://bad.org/es/1", None)] + [(1 + i, f"http://fan{i}.info/", bad) for i in range(50)] + [(100, "http://mixed.info/", bad + fine)]
+    rows += [(101, "http://far.info/", '<a href="http://mixed.info/">')]
+    got = {x.page_id: x for x in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert all(got[1 + i].verdict == "block" and got[1 + i].distrust == pytest.approx(0.85) for i in range(50))
+    assert got[100].verdict == got[101].verdict == "allow"
+    assert got[100].distrust == pytest.approx(0.85 / 4) and got[101].distrust == pytest.approx(0.85**2 / 4)
+
+
 # quality
 
 
