@@ -28,7 +28,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,200}+(?![A-Za-z0-9+/_@-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_@-])",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CONTEXT = 24
@@ -107,7 +107,7 @@ def labels(kind: str, match: Column, before: Column) -> list[Column]:
     if kind == "phone":
         return [_vote(passes(kind, match), ~passes(kind, match)), _vote(number.rlike(r"^[1-9]"), number.rlike(r"^0")), context, _vote(size >= 4, size < 3)]
     hexadecimal = match.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")
-    mixed = match.rlike(r"[0-9].*[A-Za-z].*[0-9]")
+    mixed = match.rlike(r"^[^0-9]*+[0-9][^A-Za-z]*+[A-Za-z][^0-9]*+[0-9]")  # linear in a run of any length
     return [_vote(hexadecimal | (mixed & (F.length(match) >= 32)), ~mixed), _vote(match.rlike(r"^(?:sk|pk|ghp|xox[a-z]|AKIA|eyJ)"), match.rlike(r"[-_/]{2}")), _vote(before.rlike(_CONTEXTS[kind]), ~before.rlike(r"[=:\"'\s]$")), _vote(size >= 12, size < 8)]
 
 

@@ -218,6 +218,13 @@ def test_pii(spark):
     assert pii.find(frame.limit(0)).collect() == []
 
 
+def test_long_secrets(spark):
+    long = hashlib.sha512(b"x").hexdigest() * 3
+    texts = [f'token = "{long}" and {long}', "1" * 300_000]
+    got = {x.doc_id: x.spans for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: f"secret:9:{9 + len(long)}", 1: ""}
+
+
 def test_redaction(spark):
     rows = [(1, "é a@b.co 1.2.3.4!", 7), (2, None, 7), (3, "clean", 7), (4, "", 7)]
     got = {x.doc_id: x for x in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, start int")).collect()}
