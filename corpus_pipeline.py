@@ -2,8 +2,7 @@
 
 ``STAGES`` lists the stages in order. Each takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``. All but the last keep the columns of
-``documents``. Rows that share a ``doc_id`` are one document and stay or go together where a decision is
-made by id; null and empty texts pass through every stage and are packed as their end id alone; empty
+``documents``. Every stage decides by row, with or without a ``doc_id``, and of near copies one row stays; null and empty texts pass through every stage and are packed as their end id alone; empty
 tables give empty results.
 """
 
@@ -25,11 +24,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that n-gram Jaccard links connect, the one with the smallest id stays."""
-    classes = near_join.near_classes(docs)
-    gone = stored(classes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id"), "near-gone")
+    """Of rows that n-gram Jaccard links connect, the one with the smallest id stays (rows without an id come
+    last; of repeated rows one stays). A row whose set is empty stays."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    classes = near_join.near_classes(rows.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
+    members = stored(classes.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row"), "near-members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    stays = members.groupBy("component_id").agg(first.alias("first")).select("first.__row")
+    gone = stored(members.join(stays, "__row", "left_anti").select("__row"), "near-gone")
     small = gone.count() <= near_join.BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if small else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

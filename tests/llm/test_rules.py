@@ -294,3 +294,13 @@ def test_stages_handle_odd_rows(spark, tmp_path):
             frame = spark.createDataFrame(frame.collect(), schema)
         assert frame.count() in (0, 5)
         corpus_pipeline.STAGES[-1][1](spark, frame, d).collect()
+
+
+def test_one_row_of_near_copies_stays(spark):
+    import corpus_pipeline
+
+    say = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, say("a")), (1, say("a")), (2, say("a") + " x"), (2, say("b")), (3, say("b")), (None, say("a") + " y"), (None, say("c")), (None, say("c") + " z"), (None, None), (4, ""), (4, "")]
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    kept = sorted(((x.doc_id or 0, (x.text or "")[:2]) for x in got))
+    assert kept == [(0, ""), (0, "c0"), (1, "a0"), (2, "b0"), (4, ""), (4, "")]
