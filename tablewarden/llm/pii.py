@@ -5,7 +5,8 @@ lists of known endings, prefixes and reserved values (gazetteer), and the words
 aggregation counts the vote patterns of the whole corpus; expectation-maximisation over these few patterns
 estimates how reliable every labeler is; a span classifier is then fitted to the posteriors over span
 features, and compiled back into an expression. Spans of the four base kinds that pass their checks are
-always kept; the classifier decides on everything else.
+always kept, and nothing else of these kinds is. A secret is kept if the structure and the context labeler
+speak for it and the classifier does not veto it: that is all that the fitted model decides.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ class Model:
     threshold: float = 0.5
 
     def accepts(self, span: Column) -> Column:
-        """Base spans, and those whose log-odds under the classifier exceed the threshold's."""
+        """Base spans, and secrets with both votes whose log-odds under the classifier exceed the threshold's."""
 
         def weight(part: str, value: Column) -> Column:
             found = [((k, v), w) for (k, p, v), w in sorted(self.weights.items()) if p == part]
