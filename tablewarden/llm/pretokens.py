@@ -1,13 +1,15 @@
 """Vectorised pre-tokenisation shared by token counting, packing and token-ID output.
 
-A batch of texts becomes one array of code points. Character classes turn it into pre-token
-boundaries with whole-array operations, and every pre-token gets a 64-bit polynomial fingerprint, so
-that repeated pre-tokens are resolved by one gather from a direct-mapped memo of fixed size. Only
-pre-tokens that the memo does not hold reach the (slow) byte-pair step.
+A batch of texts becomes one array of code points. Character classes turn it into pre-token boundaries
+with whole-array operations. Pre-tokens met before are resolved by one gather from a direct-mapped memo of
+fixed size: a fingerprint finds the slot, and the characters kept there are compared one by one, so a
+result never rests on a fingerprint. Only pre-tokens that the memo does not hold reach the (slow)
+byte-pair step.
 
 The class of a character is asked from the tokenizer's own splitting rule once per distinct character,
-so the boundaries are those of the library by construction. Texts that hold an added token's string,
-or whose normal form is not a character-by-character mapping, are encoded whole by the library.
+so the boundaries are those of the library by construction. A text is split at the added tokens' strings
+inside it, as the library splits it, and each of these stands for its own id. Only parts whose normal form is
+not a character-by-character mapping are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -27,54 +30,57 @@ OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 9
 CHUNK = 1 << 17
 _MEMO_BITS = 21
 _MAX_STORE = 12_000_000
+#: Characters of the longest pre-token that the memo keeps.
+_LONGEST = 48
 
 
-def _odd(seed: int) -> int:
-    return int(np.random.default_rng(seed).integers(1, 2**63, dtype=np.uint64)) * 2 + 1
-
-
-_P = np.uint64(_odd(7) % 2**64)
-_P_INV = np.uint64(pow(int(_P), -1, 2**64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambler of 64-bit values."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-class Powers:
-    """Powers of the fingerprint's base and of its inverse, grown on demand."""
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_RANDOM = mix(np.arange(1, 1 + 0x110000, dtype=np.uint64) * _STEP)
 
-    def __init__(self) -> None:
-        self.n, self.up, self.down = 0, np.empty(0, np.uint64), np.empty(0, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 1 << 16)
-            self.up, self.down = _powers(_P, self.n), _powers(_P_INV, self.n)
-        return self.up, self.down
+def character_sums(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums (one more than characters) of every character scrambled with its place in its span. A
+    character and its place go through the scrambler together, so no algebra of places makes sums equal."""
+    n = len(codes)
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(begin)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mix(_RANDOM[codes] + place.astype(np.uint64) * _STEP), out=total[1:])
+    return total
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambler of 64-bit values."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit fingerprints of spans of code points (or bytes) that do not overlap; ``starts`` ascend."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    total = character_sums(codes, starts) if total is None else total
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
 
 
-_RANDOM = mix(np.arange(1, 1 + 0x110000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-POWERS = Powers()
+def span_places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the spans of an array of code points (or bytes)."""
-    up, down = POWERS.to(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(_RANDOM[codes] * up[: len(codes)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Whether each pair of spans holds the same characters."""
+    same = a_sizes == b_sizes
+    sizes = np.where(same, a_sizes, 0)
+    differs = np.flatnonzero(a[span_places(a_starts, sizes)] != b[span_places(b_starts, sizes)])
+    if len(differs):
+        same[np.searchsorted(np.cumsum(sizes), differs, side="right")] = False
+    return same
 
 
 def cut(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -121,7 +127,11 @@ class Splitter:
             self.spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         self.style = "word" if self.spec["normalizer"] else "byte"
-        self.added = [x["content"] for x in self.spec["added_tokens"]]
+        added = self.spec["added_tokens"]
+        self.added = {x["content"]: x["id"] for x in added}
+        # the library finds them leftmost first, the longest of several; the flags would make it look around
+        self.at_added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        self.plain_added = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in added)
         self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
         self.lower = np.arange(0x110000, dtype=np.uint32) if self.style == "word" else None
         self.slow = np.zeros(0x110000, dtype=bool) if self.style == "word" else None
@@ -148,11 +158,17 @@ class Splitter:
                 kind = NUMBER if len(rule("1" + c)) == 2 else SPACE
             self.classes[code] = kind
 
-    def is_slow(self, text: str) -> bool:
-        """Whether only the library itself may encode this text."""
-        if any(x in text for x in self.added):
+    def sections(self, text: str) -> list[str]:
+        """The text split at the added tokens' strings; every second section is one of them."""
+        if not self.at_added or not any(x in text for x in self.added):
+            return [text]
+        return self.at_added.split(text)
+
+    def is_slow(self, section: str) -> bool:
+        """Whether only the library itself may encode this text between added tokens."""
+        if not self.plain_added and any(x in section for x in self.added):
             return True
-        return self.style == "word" and not text.isascii() and not unicodedata.is_normalized("NFC", text)
+        return self.style == "word" and not section.isascii() and not unicodedata.is_normalized("NFC", section)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code points of the texts end to end (lower-cased where the rule says so) and their classes."""
@@ -213,7 +229,10 @@ class Splitter:
 
 
 class Memo:
-    """Direct-mapped memory of fixed size: fingerprint of a pre-token -> its ids (or their number)."""
+    """Direct-mapped memory of fixed size: a pre-token -> its ids (or their number).
+
+    The fingerprint only names the slot. A slot answers for a pre-token whose characters are its own.
+    """
 
     def __init__(self, splitter: Splitter, solve: Callable[[list[str]], list | np.ndarray], ids: bool) -> None:
         self.splitter, self.solve, self.ids = splitter, solve, ids
@@ -224,15 +243,17 @@ class Memo:
         self.keys = np.zeros(size, dtype=np.uint64)
         self.length = np.zeros(size, dtype=np.int32)
         self.offset = np.zeros(size, dtype=np.int32)
+        self.size = np.zeros(size, dtype=np.int32)
+        self.place = np.zeros(size, dtype=np.int32)
         self.store, self.used = np.zeros(1 << 16, dtype=np.int32), 0
+        self.characters, self.spelled = np.zeros(1 << 16, dtype=np.uint32), 0
 
-    def _keep(self, ids: np.ndarray) -> int:
-        if self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store[: self.used], np.zeros(max(len(ids), len(self.store)), np.int32)])
-        at = self.used
-        self.store[at : at + len(ids)] = ids
-        self.used += len(ids)
-        return at
+    @staticmethod
+    def _keep(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(store):
+            store = np.concatenate([store[:used], np.zeros(max(len(more), len(store)), store.dtype)])
+        store[used : used + len(more)] = more
+        return store
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
         """Number of tokens of every text and, if wanted, all ids end to end. Texts must not be slow."""
@@ -241,47 +262,55 @@ class Memo:
         codes, kinds = self.splitter.codes(texts)
         starts, ends = self.splitter.split(codes, kinds, (text_ends - sizes)[sizes > 0])
         keys = span_hashes(codes, starts, ends)
-        if self.used > _MAX_STORE:
+        if max(self.used, self.spelled) > _MAX_STORE:
             self.clear()
         slot = (keys & np.uint64((1 << _MEMO_BITS) - 1)).astype(np.int64)
         length, offset = self.length[slot], self.offset[slot]
-        miss = np.flatnonzero(self.keys[slot] != keys)
+        known = (self.keys[slot] == keys) & (self.size[slot] > 0)
+        at = np.flatnonzero(known)
+        known[at] = same_spans(codes, starts[at], self.characters, self.place[slot[at]].astype(np.int64), (ends - starts)[at], self.size[slot[at]].astype(np.int64))
+        fresh = self.store
+        miss = np.flatnonzero(~known)
         if len(miss):
-            new, where, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-            pick = miss[where]
-            whole = codes.astype("<u4").tobytes()
-            words = [whole[4 * s : 4 * e].decode("utf-32-le", "surrogatepass") for s, e in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-            found = self.solve(words)
-            if self.ids:
-                got = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
-                at = self._keep(np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(got.sum())))
-                off = (at + np.cumsum(got, dtype=np.int64) - got).astype(np.int32)
-            else:
-                got, off = np.asarray(found, dtype=np.int32), np.zeros(len(found), np.int32)
-            length[miss], offset[miss] = got[back], off[back]
-            slots = (new & np.uint64((1 << _MEMO_BITS) - 1)).astype(np.int64)
-            self.keys[slots], self.length[slots], self.offset[slots] = new, got, off
-            # of several new keys with one slot numpy keeps the last in every array alike
+            length[miss], offset[miss], fresh = self._learn(codes, starts[miss], ends[miss], slot[miss], keys[miss])
         total = np.zeros(len(length) + 1, dtype=np.int64)
         np.cumsum(length, out=total[1:])
         bounds = np.searchsorted(starts, np.concatenate([[0], text_ends]))
         counts = np.diff(total[bounds])
         if not self.ids:
             return counts, None
-        ids = self.store[np.repeat(offset - total[:-1], length) + np.arange(total[-1])]
-        return counts, ids
-
-
-def batches(texts: list[str], size: int = 0) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``size`` characters each."""
-    at, held, size = 0, 0, size or CHUNK
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield at, i
-            at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        return counts, fresh[span_places(offset.astype(np.int64), length.astype(np.int64))]
+
+    def _learn(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Solve pre-tokens that the memo lacks, each spelling once, and keep those that are not too long.
+        Returns the lengths, and the offsets in the returned store (which also holds what is not kept)."""
+        whole = codes.astype("<u4").tobytes()
+        spelled: dict[bytes, int] = {}
+        first: list[int] = []
+        back = np.empty(len(starts), np.int64)
+        for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            back[k] = n = spelled.setdefault(whole[4 * s : 4 * e], len(spelled))
+            if n == len(first):
+                first.append(k)
+        found = self.solve([w.decode("utf-32-le", "surrogatepass") for w in spelled])
+        if self.ids:
+            got = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+            self.store = self._keep(self.store, self.used, np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(got.sum())))
+            off = (self.used + np.cumsum(got, dtype=np.int64) - got).astype(np.int32)
+            self.used += int(got.sum())
+        else:
+            got, off = np.asarray(found, dtype=np.int32), np.zeros(len(found), np.int32)
+        size = (ends - starts)[first]
+        short = np.flatnonzero(size <= _LONGEST)
+        chosen = np.asarray(first, np.int64)[short]
+        size = size[short]
+        # of several new ones with one slot numpy keeps the last in every array alike
+        slots = slot[chosen]
+        self.keys[slots], self.length[slots], self.offset[slots], self.size[slots] = keys[chosen], got[short], off[short], size
+        self.place[slots] = self.spelled + np.cumsum(size) - size
+        self.characters = self._keep(self.characters, self.spelled, codes[span_places(starts[chosen], size)])
+        self.spelled += int(size.sum())
+        return got[back], off[back], self.store
 
 
 class Encoder:
@@ -291,7 +320,6 @@ class Encoder:
         self.splitter = Splitter(path)
         self.memo = Memo(self.splitter, solve or self._by_library, ids)
         self.ids = ids
-
         if hasattr(self.splitter.library.model, "_resize_cache"):
             self.splitter.library.model._resize_cache(0)  # the memo stands before it; filling a second one costs more than it saves
 
@@ -303,52 +331,54 @@ class Encoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
         """Counts by text, and all ids end to end."""
         counts, parts = np.zeros(len(texts), np.int64), []
-        for a, b in batches(texts):
-            self._some(texts[a:b], counts[a:b], parts)
+        some: list[str] = []  # parts that wait to be encoded together, and whose they are
+        owner: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            if some:
+                np.add.at(counts, owner, self._plain(some, parts))
+            some.clear(), owner.clear()
+            held = 0
+
+        for i, text in enumerate(texts):
+            for k, section in enumerate(self.splitter.sections(text)):
+                if k % 2:  # an added token
+                    flush()
+                    parts.append(np.array([self.splitter.added[section]], np.int32))
+                    counts[i] += 1
+                elif self.splitter.is_slow(section):
+                    flush()
+                    counts[i] += self._whole(section, parts)
+                else:
+                    for x in cut(section) if len(section) > 2 * CHUNK else (section,):
+                        if held and held + len(x) > CHUNK:
+                            flush()
+                        some.append(x), owner.append(i)
+                        held += len(x)
+        flush()
         return counts, (np.concatenate(parts) if parts else np.empty(0, np.int32)) if self.ids else None
 
-    def _some(self, texts: list[str], counts: np.ndarray, parts: list[np.ndarray]) -> None:
-        plain: list[int] = []
-        for i, t in enumerate(texts):
-            if self.splitter.is_slow(t):
-                self._plain(texts, plain, counts, parts)
-                plain = []
-                self._whole(t, i, counts, parts)
-            elif len(t) > 2 * CHUNK:
-                self._plain(texts, plain, counts, parts)
-                plain = []
-                for x in cut(t):
-                    one = np.zeros(1, np.int64)
-                    self._plain([x], [0], one, parts)
-                    counts[i] += one[0]
-            else:
-                plain.append(i)
-        self._plain(texts, plain, counts, parts)
-
-    def _whole(self, text: str, i: int, counts: np.ndarray, parts: list[np.ndarray]) -> None:
+    def _whole(self, text: str, parts: list[np.ndarray]) -> int:
         ids = self.splitter.library.encode(text, add_special_tokens=False).ids
-        counts[i] = len(ids)
         parts.append(np.asarray(ids, dtype=np.int32))
+        return len(ids)
 
-    def _plain(self, texts: list[str], which: list[int], counts: np.ndarray, parts: list[np.ndarray]) -> None:
-        if not which:
-            return
-        some = [texts[i] for i in which]
+    def _plain(self, some: list[str], parts: list[np.ndarray]) -> np.ndarray:
         if self.splitter.slow is not None:
             self.splitter.codes([t for t in some if not t.isascii()])  # learns new characters
             if self.splitter.slow.any():
-                odd = [i for i, t in zip(which, some, strict=True) if not t.isascii() and self.splitter.slow[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()]
-                for i in which if odd else []:
-                    self._whole(texts[i], i, counts, parts) if i in odd else self._plain_now([texts[i]], [i], counts, parts)
-                if odd:
-                    return
-        self._plain_now(some, which, counts, parts)
-
-    def _plain_now(self, some: list[str], which: list[int], counts: np.ndarray, parts: list[np.ndarray]) -> None:
+                odd = [not t.isascii() and bool(self.splitter.slow[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for t in some]
+                if any(odd):
+                    return np.array([self._whole(t, parts) if o else int(self._plain_now([t], parts)[0]) for t, o in zip(some, odd, strict=True)])
+        return self._plain_now(some, parts)
+
+    def _plain_now(self, some: list[str], parts: list[np.ndarray]) -> np.ndarray:
         n, ids = self.memo(some)
-        counts[which] = n
         if ids is not None:
             parts.append(ids)
+        return n
 
 
 @functools.lru_cache(maxsize=4)

@@ -1,29 +1,66 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""The folder that driver and executors share, tables written there to cut lineage, and files in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Schemes that both Spark and the workers' own file access know: fixed values.
+SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests on one machine), a local one."""
+    """The cluster's shared folder, with its scheme. Where the session names none, a local one serves a
+    session on one machine; on a cluster that is an error."""
     where = spark.conf.get(_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_KEY} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tablewarden-")
+    where = qualified(spark, where)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def qualified(spark: SparkSession, where: str) -> str:
+    """The path with the scheme that Spark itself would use for it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(where)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The workers' own access to a folder of the shared one, for files that are no tables. A scheme that it
+    does not know is refused by name, never taken for a local folder."""
+    scheme = path.partition("://")[0] if "://" in path else None
+    if scheme == "s3a":  # one store under two names
+        path, scheme = "s3" + path[3:], "s3"
+    if scheme not in SCHEMES:
+        raise ValueError(f"`{path}`: files can be kept under {', '.join(SCHEMES)}; name such a folder in {_KEY}")
+    return fs.FileSystem.from_uri(path)
+
+
+def open_output(path: str):
+    where, name = filesystem(path)
+    where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return where.open_output_stream(name)
+
+
+def open_input(path: str):
+    where, name = filesystem(path)
+    return where.open_input_stream(name)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again: computed once, and safe when
     executors are lost later. The caller's session removes the folder when it is no longer needed."""
@@ -33,6 +70,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of a stored table's files, as the planner knows them from their listing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pretokens import encoder
-from .shared import fresh_path, stored
+from .shared import filesystem, fresh_path, stored
 
 _ROWS = 256
 
@@ -35,7 +35,7 @@ class ShardWriter:
     """
 
     def __init__(self, folder: str, shard: int, length: int, wide: bool, pad: int) -> None:
-        self.fs, base = fs.FileSystem.from_uri(folder)
+        self.fs, base = filesystem(folder)
         self.path = f"{base}/shard-{shard:08d}.arrow"
         self.temporary = f"{base}/.shard-{shard:08d}-{uuid.uuid4().hex}"
         self.length, self.pad, self.kind = length, pad, pa.uint32() if wide else pa.uint16()
@@ -72,7 +72,7 @@ class ShardReader:
     """Random access to the sequences of one file. A local file is mapped, not read."""
 
     def __init__(self, folder: str, shard: int) -> None:
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = filesystem(folder)
         path = f"{base}/shard-{shard:08d}.arrow"
         self.source = pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)

@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers read a clause as a string of word classes: insult, threat, target, negation and reported
-speech. Their composition runs once over a clause and ends in a state that says what the clause is (an
-insult at somebody, a negated insult, a quoted one, a threat, ...); the weights of these clause kinds give the
-text's score. Isolated words have no score of their own.
+Small transducers read a clause as a string of symbols: insult, threat, target, negation, report, an opening
+quotation, and a gap of other words. Their composition runs once over a clause; its final states carry the
+weights, one per clause kind: an insult, an insult at somebody, one that stands alone, the same of threats, a
+negated and a reported one. A text's score comes from the weights of its clauses. The weights are fitted by
+logistic regression, inside bounds that keep the grammar's order: whoever is told it weighs more than nobody
+told, a word that stands alone at most half as much as one in a clause, negated and reported speech at most
+half as much as plain speech, and a threat at somebody is enough by itself.
 
 The insult class starts from a fixed word list and grows by stems learnt from labelled rows: a stem must
 keep to toxic rows and stand in many different contexts there, so a family of copies teaches nothing.
-Weights are fitted by logistic regression with the grammar's own weights as prior.
 """
 
 from __future__ import annotations
@@ -23,27 +25,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .pretokens import POWERS, _RANDOM, mix
+from .pretokens import character_sums, mix
 from .shared import stored
 from .words import ALPHANUMERIC, Words, text_chunks, words_of
 
 # Word classes that the grammar starts from, in four languages.
 INSULTS = "idiot idiots moron morons stupid scum loser losers trash clown worthless pathetic disgusting idiota imbécil estúpido imbécile crétin débile abruti dummkopf trottel abschaum versager".split()
 THREATS = "kill hurt destroy murder stab shoot hang matar destruir tuer frapper töten umbringen".split()
-TARGETS = "you your youre u ur he she they him her them tu vous toi ton usted ustedes ustedes tú du dich dir ihr sie".split()
+TARGETS = "you your youre u ur he she they him her them tu vous toi ton usted ustedes tú du dich dir ihr sie".split()
 NEGATIONS = "not no never isnt arent dont nicht kein keine nie ne pas jamais nunca jamás ningún".split()
 REPORTS = "said says say called calls wrote writes reported quoted claimed sagte schrieb dit disait écrit dijo dice escribió".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, GAP = range(7)
 #: Words between two classes after which a negation no longer reaches.
 SCOPE = 3
 _SHORTEST, _LONGEST = 3, 12
 _CLAUSE_ENDS = np.zeros(256, dtype=bool)
-_CLAUSE_ENDS[[ord(c) for c in ".!?;:\n"]] = True
+_CLAUSE_ENDS[[ord(c) for c in ".!?;\n"]] = True
 
 
 class Transducer:
-    """A deterministic machine over word classes; what it says is the state it ends in."""
+    """A deterministic machine over clause symbols; what it says is the state it ends in."""
 
     def __init__(self, moves: dict[tuple[int, int], int]) -> None:
         self.moves = moves
@@ -55,17 +57,17 @@ class Transducer:
 SEEN = lambda symbol: Transducer({(0, symbol): 1})
 #: 0 open, 1 a negation in reach, 2 negated insult or threat, 3 one that is not negated.
 NEGATED = Transducer({(0, NEGATION): 1, (1, GAP): 0, (1, INSULT): 2, (1, THREAT): 2, (0, INSULT): 3, (0, THREAT): 3, (2, INSULT): 3, (2, THREAT): 3})
-#: 0 open, 1 speech is reported, 2 reported insult or threat.
-REPORTED = Transducer({(0, REPORT): 1, (1, INSULT): 2, (1, THREAT): 2})
+#: 0 open, 1 speech is reported, 2 reported insult or threat, 3 inside a quotation, 4 quoted insult or threat.
+REPORTED = Transducer({(0, REPORT): 1, (1, INSULT): 2, (1, THREAT): 2, (0, QUOTE): 3, (3, INSULT): 4, (3, THREAT): 4, (4, REPORT): 2, (3, REPORT): 1})
 
 
 def compose(machines: list[Transducer]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """The product of the machines over reachable states: next state by state and class, and its parts."""
+    """The product of the machines over reachable states: next state by state and symbol, and its parts."""
     start = tuple(0 for _ in machines)
     states, order, rows = {start: 0}, [start], []
     for state in order:
         row = []
-        for symbol in range(6):
+        for symbol in range(7):
             to = tuple(m.step(s, symbol) for m, s in zip(machines, state, strict=True))
             if to not in states:
                 states[to] = len(order)
@@ -78,7 +80,11 @@ def compose(machines: list[Transducer]) -> tuple[np.ndarray, list[tuple[int, ...
 DELTA, STATES = compose([SEEN(INSULT), SEEN(THREAT), SEEN(TARGET), NEGATED, REPORTED])
 
 #: Clause kinds and their prior weights: fixed values.
-PRIOR = {"insult": 4.0, "insult_at": 5.0, "threat": 1.0, "threat_at": 3.0, "negated": 0.5, "reported": 1.5}
+PRIOR = {"insult": 4.0, "insult_at": 5.0, "insult_alone": 1.0, "threat": 1.0, "threat_at": 4.0, "threat_alone": 0.5, "negated": 0.5, "reported": 1.0}
+#: The bias stays where a text without clauses is clean and one threat at somebody is not.
+LEAST_BIAS, MOST_BIAS, LEAST_THREAT_AT = -3.5, math.log(0.1 / 0.9), 3.2
+#: What a weight must exceed the one below it by.
+_MARGIN = 0.5
 
 
 def _kind(state: tuple[int, ...]) -> str | None:
@@ -94,26 +100,33 @@ def _kind(state: tuple[int, ...]) -> str | None:
 
 KINDS = list(PRIOR)
 STATE_KIND = np.array([KINDS.index(k) if (k := _kind(s)) else -1 for s in STATES])
+_ALONE = {KINDS.index(k): KINDS.index(k + "_alone") for k in ("insult", "threat")}
+
+
+def bounded(weights: np.ndarray) -> np.ndarray:
+    """The weights moved into the order that the grammar asks for."""
+    w = dict(zip(KINDS, weights.tolist(), strict=True))
+    w["insult"], w["threat"] = max(w["insult"], 2 * _MARGIN), max(w["threat"], 0.0)
+    w["insult_at"] = max(w["insult_at"], w["insult"] + _MARGIN)
+    w["threat_at"] = max(w["threat_at"], w["threat"] + _MARGIN, LEAST_THREAT_AT)
+    for part, of in (("insult_alone", "insult"), ("threat_alone", "threat"), ("negated", "insult"), ("reported", "insult")):
+        w[part] = min(max(w[part], 0.0), w[of] / 2)
+    return np.array([w[k] for k in KINDS])
 
 
 def _prefix_hashes(words: Words, total: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
     s = words.starts[which]
-    e = s + size
-    _, down = POWERS.to(len(total))
-    return mix((total[e] - total[s]) * down[s] + np.uint64(size))
+    return mix(total[s + size] - total[s] + np.uint64(size))
 
 
 def _totals(words: Words) -> np.ndarray:
-    up, _ = POWERS.to(len(words.bytes) + 1)
-    total = np.zeros(len(words.bytes) + 1, dtype=np.uint64)
-    np.cumsum(_RANDOM[words.bytes] * up[: len(words.bytes)], out=total[1:])
-    return total
+    return character_sums(words.bytes, words.starts)
 
 
 def fingerprint(word: str) -> tuple[int, int]:
+    """The word's fingerprint, as ``words_of`` gives it for whole words, and its length in bytes."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    w = words_of(raw, np.array([0, len(raw)]), ALPHANUMERIC)
-    return int(_prefix_hashes(w, _totals(w), np.array([0]), len(raw))[0]), len(raw)
+    return int(words_of(raw, np.array([0, len(raw)]), ALPHANUMERIC).hashes[0]), len(raw)
 
 
 @dataclass
@@ -162,21 +175,35 @@ def clause_counts(words: Words, raw: np.ndarray, lexicon: Lexicon) -> np.ndarray
     at, symbol = lexicon.classes(words)
     if not len(at) or not (symbol <= THREAT).any():
         return out
-    owner = np.searchsorted(words.bounds, at, side="right") - 1
-    clause = np.cumsum(_CLAUSE_ENDS[raw])[words.starts[at]] + owner * np.int64(len(raw) + 1)
+    owners = np.repeat(np.arange(len(words.bounds) - 1), words.counts)
+    clauses = np.cumsum(_CLAUSE_ENDS[raw])[words.starts] + owners * np.int64(len(raw) + 1)
+    clause = clauses[at]
     live = np.isin(clause, np.unique(clause[symbol <= THREAT]))
-    at, symbol, owner, clause = at[live], symbol[live], owner[live], clause[live]
-    state, last, held = 0, -1, -1
-    for i, (w, s, c) in enumerate(zip(at.tolist(), symbol.tolist(), clause.tolist(), strict=True)):
+    at, symbol, clause = at[live], symbol[live], clause[live]
+    first = np.searchsorted(clauses, clause)
+    size = np.searchsorted(clauses, clause, side="right") - first
+    marks = np.cumsum(raw == 34)
+    # an odd number of quotation marks before a word of its clause: it stands inside a quotation
+    quoted = (marks[words.starts[at]] - marks[words.starts[first]] + (raw[np.maximum(words.starts[first] - 1, 0)] == 34)) % 2 == 1
+    state, last, held, told, n = 0, -1, -1, 0, 0
+
+    def close(owner: int) -> None:
+        kind = int(STATE_KIND[state])
+        if kind >= 0:
+            out[owner, _ALONE.get(kind, kind) if told == n else kind] += 1
+
+    owner = owners[at].tolist()
+    for i, (w, s, c, q) in enumerate(zip(at.tolist(), symbol.tolist(), clause.tolist(), quoted.tolist(), strict=True)):
         if c != held:
-            if held >= 0 and STATE_KIND[state] >= 0:
-                out[owner[i - 1], STATE_KIND[state]] += 1
-            state, held = 0, c
+            if held >= 0:
+                close(owner[i - 1])
+            state, held, told, n = 0, c, 0, int(size[i])
         elif w - last > SCOPE:
             state = DELTA[state, GAP]
-        state, last = DELTA[state, s], w
-    if STATE_KIND[state] >= 0:
-        out[owner[-1], STATE_KIND[state]] += 1
+        if q and s <= THREAT:
+            state = DELTA[state, QUOTE]
+        state, last, told = DELTA[state, s], w, told + (s <= THREAT)
+    close(owner[-1])
     return out
 
 
@@ -291,9 +318,9 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Mo
         p = 1 / (1 + np.exp(-np.clip(bias + x @ weights, -30, 30)))
         error = yes - n * p
         curve = n * p * (1 - p)
-        weights = weights + (x.T @ error - (weights - prior)) / ((x * x).T @ curve + len(KINDS) + 1)
-        bias += (error.sum() - 0.1 * (bias + 3)) / (curve.sum() * 2 + 1)
-    return Model(lexicon, weights, float(min(bias, math.log(0.1 / 0.9))))
+        weights = bounded(weights + (x.T @ error - (weights - prior)) / ((x * x).T @ curve + len(KINDS) + 1))
+        bias = min(max(bias + (error.sum() - 0.1 * (bias + 3)) / (curve.sum() * 2 + 1), LEAST_BIAS), MOST_BIAS)
+    return Model(lexicon, weights, float(bias))
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None, cut: float = 0.3) -> DataFrame:

@@ -34,7 +34,11 @@ def grammar(text: str) -> dict[str, int]:
     [
         ("What a nice day.", {}),
         ("you idiot", {"insult_at": 1}),
-        ("The weather is stupid. Stupid!", {"insult": 2}),
+        ("The weather is stupid. Stupid!", {"insult": 1, "insult_alone": 1}),
+        ("idiot", {"insult_alone": 1}),
+        ('"You idiot", he said', {"reported": 1}),
+        ('He said: "you idiot"', {"reported": 1}),
+        ('"Fine", you idiot', {"insult_at": 1}),
         ("you are not an idiot", {"negated": 1}),
         ("not now, as they all know well, idiot", {"insult_at": 1}),
         ("she said idiot", {"reported": 1}),
@@ -46,6 +50,30 @@ def test_grammar(text, kinds):
     assert grammar(text) == kinds
 
 
+def test_a_clause_weighs_more_than_a_word():
+    """Whatever rows say, the grammar's order holds."""
+    import numpy as np
+
+    one = lambda text, weights: float(toxicity.Model(toxicity.base_lexicon(), weights, toxicity.LEAST_BIAS).score(np.array([[grammar(text).get(k, 0) for k in toxicity.KINDS]]))[0])
+    for learnt in (np.array([toxicity.PRIOR[k] for k in toxicity.KINDS]), np.full(8, 9.0), np.zeros(8), np.array([9.0, 1, 9, 9, 0, 9, 9, 9])):
+        w = toxicity.bounded(learnt)
+        assert one("you are an idiot", w) > one("what an idiot came", w) > one("idiot", w)
+        assert one("I will kill you", w) > 0.3 and one("I will kill you", w) > one("time to kill", w)
+        assert one("you idiot", w) > one("you are not an idiot", w) and one("you idiot", w) > one("she said idiot", w)
+
+
+def test_fitted_order_and_ties(spark):
+    docs = spark.createDataFrame([(i, "the word idiot here", "x", 0.5) for i in range(60)] + [(100, "idiot", "x", 0.1), (101, "you are an idiot", "x", 0.1), (102, "I will kill you", "x", 0.1), (102, "I will kill you", "x", 0.1)], "doc_id long, text string, c0 string, score double")
+    labels = spark.createDataFrame([(i, int(i > 1)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model, keep=["c0", "doc_id"])
+    assert got.columns == ["c0", "doc_id", "score", "predicted"]
+    rows = {x.doc_id: x for x in got.collect()}
+    assert rows[101].score > rows[0].score > rows[100].score and rows[102].predicted == 1
+    tie = toxicity.score(docs, model, cut=rows[101].score).collect()
+    assert {x.predicted for x in tie if x.doc_id == 101} == {1} and got.where("doc_id = 102").count() == 2
+
+
 def test_stems_are_learnt_and_copies_teach_nothing(spark):
     r = random.Random(1)
     filler = [f"word{i}" for i in range(300)]
@@ -76,7 +104,8 @@ def test_held_out_accuracy(spark):
     scored = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
     right = sum(x.predicted == x.toxic for x in scored)
     caught = sum(x.predicted for x in scored if x.toxic) / sum(x.toxic for x in scored)
-    assert right / len(scored) > 0.96 and caught > 0.8
+    print(f"held out: {right} of {len(scored)} right, {caught:.3f} of the toxic ones found")
+    assert right / len(scored) > 0.96 and caught > 0.84
 
 
 # urls

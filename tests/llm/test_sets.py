@@ -117,7 +117,7 @@ PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 def brute_decontamination(docs, items, window):
     windows: dict[tuple, set] = {}
-    for i, t in items:
+    for i, t in (x for x in items if x[0] is not None):
         w = PATTERN.findall(lower(t or ""))
         n = min(window, len(w))
         for s in range(len(w) - n + 1 if n else 0):
@@ -134,13 +134,14 @@ def brute_decontamination(docs, items, window):
     return out
 
 
-@pytest.mark.parametrize("block", [8 << 20, 200])
-def test_decontamination(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "buffer"), [(8 << 20, 8 << 20), (200, 300)])
+def test_decontamination(spark, block, buffer, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontamination, "BUFFER_BYTES", buffer)
     r = random.Random(7)
     words = [f"w{i}" for i in range(12)] + ["É", "zürich", "9"]
     say = lambda n: " ".join(r.choice(words) for _ in range(n))
-    items = [(str(i), say(r.choice((1, 3, 6, 7, 9)))) for i in range(20)] + [("20", ""), ("21", "..."), ("22", None), ("23", "W1, w2! w3")]
+    items = [(str(i), say(r.choice((1, 3, 6, 7, 9)))) for i in range(20)] + [("20", ""), ("21", "..."), ("22", None), ("23\x00", "W1, w2! w3"), (None, "w1 w2")]
     docs = [(i, say(r.randint(0, 60)) + r.choice(("", ". " + items[i % 20][1].upper() + "!", "\n"))) for i in range(60)] + [(60, None), (61, ""), (62, "!!"), (5, "w1")]
     frame = spark.createDataFrame([(*d, "z", 1) for d in docs], "doc_id long, text string, n_words string, item_id int").repartition(3)
     bench = spark.createDataFrame(items, "item_id string, text string")
@@ -154,6 +155,43 @@ def test_decontamination(spark, block, monkeypatch):
     assert kept.columns[:3] == ["item_id", "text", "doc_id"] and kept.count() == len(docs)
 
 
+def complements(n: int = 1024) -> tuple[str, str]:
+    """A Thue-Morse word and its complement: equal under every polynomial fingerprint modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("et"[x] for x in bits), "".join("te"[x] for x in bits)
+
+
+def test_complementary_words_are_different_words(spark):
+    one, other = complements()
+    docs = spark.createDataFrame([(1, one), (2, other), (3, " ".join([one, *map(str, range(60))])), (4, " ".join(["b " * 3, other]))], "doc_id long, text string")
+    got = {x.doc_id: x for x in near_join.near_classes(docs).collect()}
+    assert [got[i].component_id for i in (1, 2, 3, 4)] == [1, 2, 3, 4]
+    found = decontamination.decontaminate(docs, spark.createDataFrame([("q", one)], "item_id string, text string")).collect()
+    assert {x.doc_id for x in found if x.contaminated} == {1, 3}
+    lines = [" ".join([w] * 5 + [f"w{i}" for i in range(30)][:25]) for w in (one, other)]
+    passages = spark.createDataFrame([(1, " ".join([one] * 40)), (2, " ".join([other] * 40)), (3, lines[0])], "doc_id long, text string")
+    assert {x.doc_id for x in substring_dedup.repeated_passages(passages).collect()} <= {1, 2}
+
+
+def test_windows_are_verified_letter_by_letter(spark, monkeypatch):
+    """With words that all have one fingerprint, only real occurrences are found."""
+    real = decontamination.words_of
+
+    def blind(raw, ends, table):
+        words = real(raw, ends, table)
+        words.hashes[:] = 7
+        return words
+
+    monkeypatch.setattr(decontamination, "words_of", blind)
+    block = decontamination._block([("a", "one two three four five six"), ("b", "ten two")], 4)
+    keys = decontamination._shingle_keys(block)
+    path = f"{decontamination.fresh_path(spark, 'blind')}/x.npz"
+    decontamination._save(path, block | decontamination._prefixes(block, {k: np.ones(len(v), np.int64) for k, v in keys.items()}))
+    raw = np.frombuffer(b"zero one two three four five ten two three four six", np.uint8)
+    docs, starts, windows = decontamination.Matching(path).hits(blind(raw, np.array([0, len(raw)]), decontamination.ALPHANUMERIC))
+    assert sorted(starts.tolist()) == [1, 2, 6]
+
+
 def sentences(r: random.Random, n: int, tag: str) -> str:
     return " ".join(" ".join(f"{tag}{r.randrange(10**6)}" for _ in range(r.randint(4, 15))) + "." for _ in range(n))
 

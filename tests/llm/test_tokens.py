@@ -55,6 +55,42 @@ def test_rank_synchronous_merging():
     assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in some]
 
 
+def thue_morse(n: int, a: str = "e", b: str = "t") -> tuple[str, str]:
+    """A word and its letter-for-letter complement: equal under every polynomial fingerprint modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("size", [16, 1024])
+def test_words_with_one_polynomial_fingerprint(path, size):
+    one, other = thue_morse(size)
+    library, texts = Tokenizer.from_file(path), [one, other, f"{one} {other}", other]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    together = pretokens.Encoder(path)
+    assert together(texts)[1].tolist() == [i for w in want for i in w]
+    apart = pretokens.Encoder(path)
+    assert [apart([t])[1].tolist() for t in texts] == want
+    if path == BYTES:
+        assert token_counts.counter(path)(texts)[0].tolist() == [len(w) for w in want]
+
+
+def test_a_memo_hit_is_compared_letter_by_letter(monkeypatch):
+    """With fingerprints that say nothing, ids are still right."""
+    monkeypatch.setattr(pretokens, "span_hashes", lambda codes, starts, ends: np.ones(len(starts), np.uint64))
+    library, some = Tokenizer.from_file(BYTES), texts()
+    encode = pretokens.Encoder(BYTES)
+    for t in some * 2:
+        assert encode([t])[1].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_inside_texts_go_through_the_merging(monkeypatch):
+    library, counter = Tokenizer.from_file(BYTES), token_counts.counter(BYTES)
+    monkeypatch.setattr(pretokens.Encoder, "_whole", lambda *a: pytest.fail("the library encoded a text"))
+    some = ["x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|><|endoftext|> b ", "<|endoftext", "it's <|endoftext|>'s"]
+    assert counter(some)[0].tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in some]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, part int")
 
