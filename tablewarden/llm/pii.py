@@ -1,12 +1,16 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
-Candidate spans come from regular expressions. Labelers vote on each candidate: structure checks (regex),
-lists of known endings, prefixes and reserved values (gazetteer), and the words before it (context). One
-aggregation counts the vote patterns of the whole corpus; expectation-maximisation over these few patterns
-estimates how reliable every labeler is; a span classifier is then fitted to the posteriors over span
-features, and compiled back into an expression. Spans of the four base kinds that pass their checks are
-always kept, and nothing else of these kinds is. A secret is kept if the structure and the context labeler
-speak for it and the classifier does not veto it: that is all that the fitted model decides.
+Candidate spans come from regular expressions: the base patterns, and looser ones (mail addresses in disguise,
+national phone numbers, the head of a phone match that ran on too far, long tokens). Five labelers vote on each
+candidate: shape (regex), lists of known endings, prefixes and reserved values (gazetteer), the words before it
+(context), the variety of its characters, and a check that can only speak against it. One aggregation counts the
+vote patterns of the whole corpus; expectation-maximisation over these few patterns, started and steadied by
+prior reliabilities, estimates how far every labeler can be trusted. A span classifier (logistic regression
+over votes, length and surroundings, drawn to the labelers' log-odds) is then trained on the candidates that
+the estimate is sure of, and compiled back into an expression.
+
+Base spans that pass their checks are always kept. Every other candidate, of any kind, is the classifier's to
+accept or reject.
 """
 
 from __future__ import annotations
@@ -26,42 +30,118 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 # begin where a run of its characters begins (or where the match before it ended), and runs are possessive.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_@-])",
 }
+#: Candidates that are no base matches. None can overlap a base match of its kind.
+LOOSER = {
+    "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++",
+    "phone": r"(?=[(02-9])(?<![0-9+.(-])(?<![0-9][\x20)])(?<!\+[0-9]{1,3}[\x20.-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4}|\([2-9][0-9]{2}\)|[2-9][0-9]{2})[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9.-])(?!\x20[0-9])",
+}
+#: The head of a base phone match that has too many digits.
+_PHONE_HEAD = r"^\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?=[\x20.-])"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CONTEXT = 24
 
 # Gazetteers and context words: fixed values.
-_ENDINGS = r"(?i)\.(?:com|net|org|edu|gov|int|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|in|jp|cn|ru|br)$"
+_ENDINGS = r"(?i)(?:\.|[\])]\x20?)(?:com|net|org|edu|gov|int|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|in|jp|cn|ru|br)$"
 _CARD_PREFIX = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"
 _CONTEXTS = {
-    "email": r"(?i)(?:mail|contact|write|@|:)\W*$",
-    "ip": r"(?i)(?:\bip|host|addr|server|from)\W*$",
+    "email": r"(?i)(?:mail|contact|write|reach|@|:)\W*(?:to|at|me|us)?\W*$",
+    "ip": r"(?i)(?:\bip|host|addr|address|server|from)\W*$",
     "card": r"(?i)(?:card|visa|pay|number|no\.?)\W*$",
-    "phone": r"(?i)(?:phone|tel|call|mobile|fax)\W*$",
+    "phone": r"(?i)(?:phone|tel|call|mobile|fax|reach)\W*(?:me|us|at|on)?\W*$",
     "secret": r"(?i)(?:token|secret|key|password|passwd|pwd|bearer|auth)[\"']?\s*[=:]?\s*[\"']?$",
 }
+_CONTRARY = {
+    "email": r"(?!)",
+    "ip": r"(?i)(?:version|release|section|chapter|v)\W*$",
+    "card": r"(?i)(?:id|isbn|serial|order|invoice|item)\W*$",
+    "phone": r"(?i)(?:id|isbn|serial|order|invoice|item|page|year)\W*$",
+    "secret": r"(?i)(?:commit|sha-?[0-9]*|md5|hash|checksum|digest|revision|etag|uuid|id|//|/)[\"']?\s*[=:]?\s*[\"']?$|[^=:\"'\s]$",
+}
+#: Labelers in the order of their votes.
+LABELERS = ("shape", "gazetteer", "context", "variety", "check")
+# Prior chances of the votes (-1, 0, 1) on personal and other spans, what they weigh in rows, and the prior share
+# of personal spans: fixed values.
+_PRIOR_YES = {"shape": (0.1, 0.3, 0.6), "gazetteer": (0.1, 0.5, 0.4), "context": (0.05, 0.25, 0.7), "variety": (0.1, 0.3, 0.6), "check": (0.02, 0.98, 0.0)}
+_PRIOR_NO = {"shape": (0.4, 0.3, 0.3), "gazetteer": (0.3, 0.5, 0.2), "context": (0.25, 0.7, 0.05), "variety": (0.3, 0.3, 0.4), "check": (0.6, 0.4, 0.0)}
+_PRIOR_ROWS, _PRIOR_SHARE = 10.0, 0.3
+#: Candidates that the estimate is this sure of train the classifier.
+SURE = 0.8
+
+#: Elements of an array that are joined at once.
+_BLOCK = 128
+
+
+def _each_block(x: Column, body) -> Column:
+    """``body`` of the array's blocks of ``_BLOCK`` elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: body(F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+
+def running(x: Column, join, zero: int) -> Column:
+    """For every element what ``join`` makes of all elements before it (sums or maxima). An array can only be
+    grown by copying it, so this is done in blocks and then over the blocks' totals: the copying stays below the
+    other work up to some millions of elements."""
+
+    def flat(y: Column) -> Column:
+        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(y, start, lambda a, v: F.struct(join(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def blockwise(y: Column) -> Column:
+        totals = _each_block(y, lambda b: F.aggregate(b, F.lit(zero), join))
+        return F.flatten(F.zip_with(_each_block(y, flat), flat(totals), lambda own, before: F.transform(own, lambda v: join(before, v))))
+
+    return let(x, lambda y: F.when(F.size(y) <= _BLOCK, flat(y)).otherwise(blockwise(y)))
+
 
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
-def spans(text: Column, kind: str) -> Column:
-    """``array<struct<start, end, match>>`` of a pattern's matches, in code points. The pieces between the
-    matches give the places: no position function is needed."""
-    pattern = PATTERNS[kind]
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    sign = {"email": "@", "phone": "+", "ip": "."}.get(kind)
 
-    def place(pair: Column) -> Column:
-        step = lambda a, x: let(a["at"] + F.length(x["gap"]), lambda s: F.struct((s + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), (s + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out")))
-        zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        zipped = F.zip_with(pair["m"], F.slice(pair["gaps"], F.lit(1), F.size(pair["m"])), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-        return F.aggregate(zipped, zero, step, lambda a: a["out"])
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+_ROW = "array<struct<k:int,m:string,n:int,gap:int,before:string>>"
+
+
+def _pieces(text: Column, k: int, pattern: str, hint: Column | None = None) -> Column:
+    """One pattern's matches, each with the length of the gap before it and the characters before it (as far as
+    the match before it). A last row without a match takes the place back to the text's beginning."""
+
+    def rows(pair: Column) -> Column:
+        m = pair["m"]
+        gapped = F.zip_with(m, F.slice(pair["gaps"], F.lit(1), F.size(m)), lambda a, b: F.struct(a.alias("m"), b.alias("gap")))
+        before = F.concat(F.array(F.lit("")), F.slice(m, F.lit(1), F.size(m) - 1))
+        tail = lambda c: F.right(c, F.lit(_CONTEXT))
+        each = F.zip_with(gapped, before, lambda x, b: F.struct(F.lit(k).alias("k"), x["m"].alias("m"), F.length(x["m"]).alias("n"), F.length(x["gap"]).alias("gap"), tail(F.concat(tail(b), tail(x["gap"]))).alias("before")))
+        back = F.struct(F.lit(k).alias("k"), F.lit(None).cast("string").alias("m"), (-F.length(text)).alias("n"), F.length(F.element_at(pair["gaps"], -1)).alias("gap"), F.lit("").alias("before"))
+        return F.concat(each, F.array(back))
 
     pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps"))
-    found = F.when(text.rlike(pattern), let(pair, place)).otherwise(empty)
-    return F.when(F.instr(text, sign) > 0, found).otherwise(empty) if sign else found
+    there = text.rlike(pattern)
+    return F.when(there if hint is None else hint & there, let(pair, rows)).otherwise(F.array().cast(_ROW))
+
+
+def spans(text: Column) -> Column:
+    """``array<struct<k, start, end, match, before>>``: the matches of all patterns in code points. The lengths
+    of the pieces between matches give the places; no part of the text is looked for from its beginning."""
+    has = lambda sign: F.instr(text, sign) > 0
+    hints = {0: has("@"), 1: has("."), 3: has("+")}
+    looser = {"email": has("at)") | has("at]") | has("AT)") | has("AT]"), "phone": None}
+    every = [_pieces(text, k, PATTERNS[kind], hints.get(k)) for k, kind in enumerate(KINDS)]
+    every += [_pieces(text, len(KINDS) + KINDS.index(kind), LOOSER[kind], looser[kind]) for kind in LOOSER]
+
+    def located(r: Column) -> Column:
+        places = running(F.transform(r, lambda x: x["gap"] + x["n"]), _add, 0)
+        found = F.zip_with(r, places, lambda x, at: F.struct(x["k"].alias("k"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["m"].alias("match"), x["before"].alias("before")))
+        return F.filter(found, lambda x: x["match"].isNotNull())
+
+    none = F.array().cast("array<struct<k:int,start:int,end:int,match:string,before:string>>")
+    return let(F.concat(*every), lambda r: F.when(F.size(r) > 0, located(r)).otherwise(none))
 
 
 def digits(match: Column) -> Column:
@@ -94,60 +174,68 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def labels(kind: str, match: Column, before: Column) -> list[Column]:
-    """Votes (1 personal, -1 not, 0 none) of the labelers on a candidate: structure, gazetteer, context, variety."""
-    number = digits(match)
-    size = F.length(F.regexp_replace(F.array_join(F.array_distinct(F.split(F.lower(match), "")), ""), r"[^0-9a-z]", ""))
-    context = _vote(before.rlike(_CONTEXTS[kind]), F.lit(False))
+def labels(kind: str, match: Column, before: Column, base: Column) -> list[Column]:
+    """Votes (1 personal, -1 not, 0 none) of the labelers on a candidate. Only the check knows the base check's
+    answer, and it never speaks for a span."""
+    number, never = digits(match), F.lit(False)
+    size = F.length(F.regexp_replace(F.array_join(F.array_distinct(F.split(F.lower(F.left(match, F.lit(64))), "")), ""), r"[^0-9a-z]", ""))
+    context = _vote(before.rlike(_CONTEXTS[kind]), before.rlike(_CONTRARY[kind]))
+    check = F.when(base, 0).otherwise(-1)
     if kind == "email":
-        return [_vote(match.rlike(r"\.[A-Za-z]{2,}$"), ~match.rlike(r"\.[A-Za-z]{2,}$")), _vote(match.rlike(_ENDINGS), F.lit(False)), context, _vote(size >= 6, size < 4)]
+        alphabetic = match.rlike(r"[.\])]\x20?[A-Za-z]{2,}$")
+        return [_vote(alphabetic, ~alphabetic), _vote(match.rlike(_ENDINGS), never), context, _vote(size >= 6, size < 4), F.lit(0)]
     if kind == "ip":
-        return [_vote(passes(kind, match), ~passes(kind, match)), _vote(F.lit(False), match.rlike(r"^(?:0\.|127\.|255\.)")), context, _vote(size >= 3, size < 2)]
+        return [_vote(match.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$"), match.rlike(r"(?:^|\.)0[0-9]|[0-9]{4}")), _vote(never, match.rlike(r"^(?:0\.|127\.|255\.)")), context, _vote(size >= 3, size < 2), check]
     if kind == "card":
-        return [_vote(passes(kind, match), ~passes(kind, match)), _vote(number.rlike(_CARD_PREFIX), ~number.rlike(_CARD_PREFIX)), context, _vote(size >= 5, size < 4)]
+        grouped = match.rlike(r"^(?:[0-9]{13,16}|[0-9]{19}|[0-9]{4}(?:([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|([\x20-])[0-9]{6}\2[0-9]{5}))$")
+        return [_vote(grouped, match.rlike("[\\x20-]") & ~grouped), _vote(number.rlike(_CARD_PREFIX), ~number.rlike(_CARD_PREFIX)), context, _vote(size >= 5, size < 4), check]
     if kind == "phone":
-        return [_vote(passes(kind, match), ~passes(kind, match)), _vote(number.rlike(r"^[1-9]"), number.rlike(r"^0")), context, _vote(size >= 4, size < 3)]
+        uneven = match.rlike(r"[\x20.-]{2}") | (F.length(F.regexp_replace(match, r"[^(]", "")) != F.length(F.regexp_replace(match, r"[^)]", "")))
+        return [_vote(~uneven & match.rlike(r"[0-9][)\x20./-]{1,2}[0-9]{3}"), uneven), _vote(match.rlike(r"^\+[1-9]|^\(?0[1-9]"), match.rlike(r"^\+?0[0-]")), context, _vote(size >= 4, size < 3), F.when(F.length(number).between(7, 15), 0).otherwise(-1)]
     hexadecimal = match.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")
     mixed = match.rlike(r"^[^0-9]*+[0-9][^A-Za-z]*+[A-Za-z][^0-9]*+[0-9]")  # linear in a run of any length
-    return [_vote(hexadecimal | (mixed & (F.length(match) >= 32)), ~mixed), _vote(match.rlike(r"^(?:sk|pk|ghp|xox[a-z]|AKIA|eyJ)"), match.rlike(r"[-_/]{2}")), _vote(before.rlike(_CONTEXTS[kind]), ~before.rlike(r"[=:\"'\s]$")), _vote(size >= 12, size < 8)]
+    return [_vote(hexadecimal | (mixed & (F.length(match) >= 32)), ~mixed), _vote(match.rlike(r"^(?:sk|pk|ghp|xox[a-z]|AKIA|eyJ)"), match.rlike(r"[-_/]{2}")), context, _vote(size >= 12, size < 8), F.lit(0)]
 
 
 def features(match: Column, before: Column) -> list[Column]:
-    """What the span classifier sees besides the votes: length, and the character before."""
+    """What the span classifier sees besides the votes: length, the character before, and the mix of characters."""
     last = F.right(before, F.lit(1))
     glued = F.when(last.rlike(r"[\p{L}\p{N}]"), "word").when(last.rlike(r"[=:\"']"), "sign").otherwise("other")
-    return [F.least((F.length(match) / 8).cast("int"), F.lit(8)).cast("string"), glued]
+    head = F.left(match, F.lit(64))
+    mixture = F.concat(*(F.when(head.rlike(p), n).otherwise("") for p, n in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0"), (r"[^A-Za-z0-9]", "-"))))
+    return [F.least((F.length(match) / 8).cast("int"), F.lit(8)).cast("string"), glued, mixture]
 
 
 def candidates(text: Column) -> Column:
     """All candidate spans: ``start, kind, end, base, votes, looks``."""
 
-    def of(kind: str, k: int) -> Column:
-        def describe(x: Column) -> Column:
-            before = F.substr(text, F.greatest(x["start"] - _CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(_CONTEXT)))
-            return F.transform(
-                F.array(F.struct(x.alias("x"), before.alias("before"))),
-                lambda p: F.struct(
-                    p["x"]["start"].alias("start"), F.lit(k).alias("kind"), p["x"]["end"].alias("end"), passes(kind, p["x"]["match"]).alias("base"), F.array(*labels(kind, p["x"]["match"], p["before"])).alias("votes"), F.array(*features(p["x"]["match"], p["before"])).alias("looks")
-                ),
-            )[0]
+    def judged(x: Column, k: int) -> Column:
+        kind, is_base = KINDS[k % len(KINDS)], k < len(KINDS)
+        base = passes(kind, x["match"]) if is_base else F.lit(False)
+        # a phone match that fails by running on is judged by its head
+        head = F.regexp_extract(x["match"], _PHONE_HEAD, 0) if kind == "phone" and is_base else F.lit("")
+        match = let(base, lambda b: F.struct(b.alias("base"), F.when(~b & (head != ""), head).otherwise(x["match"]).alias("match")))
+        return let(match, lambda m: F.struct(x["start"].alias("start"), F.lit(k % len(KINDS)).alias("kind"), (x["start"] + F.length(m["match"])).alias("end"), m["base"].alias("base"), F.array(*labels(kind, m["match"], x["before"], m["base"])).alias("votes"), F.array(*features(m["match"], x["before"])).alias("looks")))
 
-        return F.transform(spans(text, kind), describe)
-
-    return F.concat(*(of(kind, k) for k, kind in enumerate(KINDS)))
+    places = [*range(len(KINDS)), *(len(KINDS) + KINDS.index(kind) for kind in LOOSER)]
+    return F.transform(spans(text), lambda x: F.coalesce(*(F.when(x["k"] == k, judged(x, k)) for k in places)))
 
 
 @dataclass
 class Model:
-    """Labeler reliabilities (by EM), and the classifier's weights by kind."""
+    """Labeler reliabilities (by EM), and the classifier's weights by kind, part and value."""
 
     reliabilities: dict[tuple[int, int, int], tuple[float, float]] = field(default_factory=dict)
     prior: dict[int, float] = field(default_factory=dict)
     weights: dict[tuple[int, str, str], float] = field(default_factory=dict)
     threshold: float = 0.5
 
+    def score(self, kind: int, votes: tuple[int, ...], looks: tuple[str, ...]) -> float:
+        """Log-odds of one candidate, as the expression computes them."""
+        return sum(self.weights.get((kind, *part), 0.0) for part in _parts(votes, looks))
+
     def accepts(self, span: Column) -> Column:
-        """Base spans, and secrets with both votes whose log-odds under the classifier exceed the threshold's."""
+        """Base spans, and all others whose log-odds under the classifier exceed the threshold's."""
 
         def weight(part: str, value: Column) -> Column:
             found = [((k, v), w) for (k, p, v), w in sorted(self.weights.items()) if p == part]
@@ -156,34 +244,73 @@ class Model:
             table = F.create_map(*(F.lit(x) for (k, v), w in found for x in (f"{k}:{v}", float(w))))
             return F.coalesce(F.try_element_at(table, F.concat_ws(":", span["kind"].cast("string"), value)), F.lit(0.0))
 
-        names = [f"v{i}" for i in range(4)]
-        score = sum((weight(n, span["votes"][i].cast("string")) for i, n in enumerate(names)), weight("prior", F.lit("")))
-        score = score + weight("f0", span["looks"][0]) + weight("f1", span["looks"][1])
-        # a structure check that fails is final, and so is a candidate that nothing around it speaks for
-        return span["base"] | ((score > math.log(self.threshold / (1 - self.threshold))) & (span["votes"][0] == 1) & (span["votes"][2] == 1) & (span["kind"] >= 4))
+        score = weight("prior", F.lit(""))
+        for j in range(len(LABELERS)):
+            score = score + weight(f"v{j}", span["votes"][j].cast("string"))
+        for j in range(3):
+            score = score + weight(f"f{j}", span["looks"][j])
+        return span["base"] | (score > math.log(self.threshold / (1 - self.threshold)))
+
+
+def _spoken(votes: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The labelers' votes by place. A check that does not object says nothing."""
+    return [(j, x) for j, x in enumerate(votes) if x or LABELERS[j] != "check"]
+
+
+def _parts(votes: tuple[int, ...], looks: tuple[str, ...]) -> list[tuple[str, str]]:
+    return [("prior", ""), *((f"v{j}", str(x)) for j, x in _spoken(votes)), *((f"f{j}", x) for j, x in enumerate(looks))]
+
+
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(min(x, 30.0), -30.0)))
 
 
 def _expect(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict, dict, dict]:
-    """EM for labelers that vote 1, -1 or not at all, independent given the truth; by kind."""
-    chance: dict[tuple[int, int, int], tuple[float, float]] = {}
-    prior: dict[int, float] = {}
-    post = {(k, v): min(max((1 + sum(v)) / (2 + sum(map(abs, v))), 0.05), 0.95) for k, v, _ in patterns}
+    """EM for labelers that vote 1, -1 or not at all, independent given the truth; by kind. Reliabilities start
+    from the prior ones, which keep weighing as some rows do."""
+    chance = {(k, j, v): (_PRIOR_YES[n][v + 1] or 1e-6, _PRIOR_NO[n][v + 1] or 1e-6) for k in range(len(KINDS)) for j, n in enumerate(LABELERS) for v in (-1, 0, 1)}
+    prior = {k: _PRIOR_SHARE for k in range(len(KINDS))}
+    post: dict[tuple[int, tuple[int, ...]], float] = {}
     for _ in range(rounds):
+        for k, v, _ in patterns:
+            odds = math.log(prior[k] / (1 - prior[k])) + sum(math.log(chance[k, j, x][0] / chance[k, j, x][1]) for j, x in _spoken(v))
+            post[k, v] = _sigmoid(odds)
         for kind in {k for k, _, _ in patterns}:
             own = [(v, n) for k, v, n in patterns if k == kind]
             yes, total = sum(n * post[kind, v] for v, n in own), sum(n for _, n in own)
-            prior[kind] = (yes + 1) / (total + 2)
-            for j in range(len(own[0][0])):
+            prior[kind] = (yes + _PRIOR_ROWS * _PRIOR_SHARE) / (total + _PRIOR_ROWS)
+            for j, name in enumerate(LABELERS):
                 for vote in (-1, 0, 1):
                     a = sum(n * post[kind, v] for v, n in own if v[j] == vote)
                     b = sum(n * (1 - post[kind, v]) for v, n in own if v[j] == vote)
-                    chance[kind, j, vote] = ((a + 0.5) / (yes + 1.5), (b + 0.5) / (total - yes + 1.5))
-        for k, v, _ in patterns:
-            odds = math.log(prior[k] / (1 - prior[k])) + sum(math.log(chance[k, j, x][0] / chance[k, j, x][1]) for j, x in enumerate(v))
-            post[k, v] = 1 / (1 + math.exp(-max(min(odds, 30), -30)))
+                    chance[kind, j, vote] = ((a + _PRIOR_ROWS * _PRIOR_YES[name][vote + 1] + 1e-6) / (yes + _PRIOR_ROWS), (b + _PRIOR_ROWS * _PRIOR_NO[name][vote + 1] + 1e-6) / (total - yes + _PRIOR_ROWS))
     return chance, prior, post
 
 
+def _train(rows: list[tuple[int, tuple[int, ...], tuple[str, ...], int]], chance: dict, prior: dict, post: dict, rounds: int = 60) -> dict[tuple[int, str, str], float]:
+    """Logistic regression on the candidates that the labelers are sure of. Its weights are drawn to the
+    labelers' log-odds (and to 0 for what labelers do not see), so that values never met keep theirs. A kind
+    without sure candidates of both sorts has nothing to learn a difference from and goes by the labelers."""
+    centre = {(k, f"v{j}", str(v)): math.log(a / b) for (k, j, v), (a, b) in chance.items() if v or LABELERS[j] != "check"}
+    centre |= {(k, "prior", ""): math.log(p / (1 - p)) for k, p in prior.items()}
+    sure = [(k, [(k, *x) for x in _parts(v, looks)], float(n), float(post[k, v] > 0.5)) for k, v, looks, n in rows if abs(post[k, v] - 0.5) >= SURE - 0.5]
+    both = {k for k, _, _, y in sure if y} & {k for k, _, _, y in sure if not y}
+    sure = [x for x in sure if x[0] in both]
+    weights = dict(centre)
+    for _ in range(rounds):
+        slope: dict[tuple[int, str, str], float] = {}
+        curve: dict[tuple[int, str, str], float] = {}
+        for _, parts, n, y in sure:
+            p = _sigmoid(sum(weights.get(x, 0.0) for x in parts))
+            for x in parts:
+                slope[x] = slope.get(x, 0.0) + n * (y - p)
+                curve[x] = curve.get(x, 0.0) + n * p * (1 - p) * len(parts)
+        for x, s in slope.items():
+            w = weights.get(x, 0.0)
+            weights[x] = w + (s - (w - centre.get(x, 0.0))) / (curve[x] + 1.0)
+    return {x: round(w, 6) for x, w in weights.items()}
+
+
 def fit(documents: DataFrame) -> Model:
     """Estimate reliabilities and train the classifier on the vote patterns of all documents.
 
@@ -192,25 +319,12 @@ def fit(documents: DataFrame) -> Model:
     """
     found = documents.select(F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("s"))
     counted = found.groupBy("s.kind", "s.votes", "s.looks").agg(F.count("*").alias("n"))
-    rows = [(r["kind"], tuple(r["votes"]), tuple(r["looks"]), r["n"]) for r in counted.collect()]
-    rows.sort()
+    rows = sorted((r["kind"], tuple(r["votes"]), tuple(r["looks"]), r["n"]) for r in counted.collect())
     sums: dict[tuple[int, tuple[int, ...]], int] = {}
     for k, v, _, n in rows:
         sums[k, v] = sums.get((k, v), 0) + n
     chance, prior, post = _expect([(k, v, n) for (k, v), n in sums.items()])
-    yes: dict[tuple[int, str, str], float] = {}
-    no: dict[tuple[int, str, str], float] = {}
-    totals: dict[int, list[float]] = {}
-    for k, v, looks, n in rows:
-        p = post[k, v]
-        t = totals.setdefault(k, [1.0, 1.0])
-        t[0], t[1] = t[0] + n * p, t[1] + n * (1 - p)
-        for part, value in [*((f"v{j}", str(x)) for j, x in enumerate(v)), *((f"f{j}", x) for j, x in enumerate(looks))]:
-            yes[k, part, value] = yes.get((k, part, value), 0.0) + n * p
-            no[k, part, value] = no.get((k, part, value), 0.0) + n * (1 - p)
-    weights = {key: round(math.log((yes[key] + 0.5) / (totals[key[0]][0] + 0.5)) - math.log((no[key] + 0.5) / (totals[key[0]][1] + 0.5)), 6) for key in yes}
-    weights |= {(k, "prior", ""): round(math.log(t[0] / t[1]), 6) for k, t in totals.items()}
-    return Model(chance, prior, weights)
+    return Model(chance, prior, _train(rows, chance, prior, post))
 
 
 def _texts(found: Column) -> Column:
@@ -238,18 +352,34 @@ def find(documents: DataFrame, model: Model | None = None, keep: list[str] | Non
     )
 
 
+#: Code points in a piece of a text that is redacted.
+_PIECE = 1024
+
+
+def _replaced(text: Column, found: Column) -> Column:
+    """The text with the stretches that spans cover replaced. It is cut into pieces once, so that no part of it
+    is looked for from its beginning."""
+    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / _PIECE).cast("int")
+        some = F.array_join(F.slice(pieces, first + 1, F.floor(b / _PIECE).cast("int") - first + 1), "")
+        return F.substr(some, a - first * _PIECE + 1, b - a)
+
+    def build(x: Column) -> Column:
+        # a span that begins before those in front of it have ended belongs to their stretch
+        firsts = F.filter(F.zip_with(x["found"], running(F.transform(x["found"], lambda s: s["end"]), _most, 0), lambda s, reach: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), reach.alias("reach"))), lambda s: s["start"] >= s["reach"])
+        shown = F.transform(firsts, lambda s: F.concat(part(x["pieces"], s["reach"], s["start"]), names[s["kind"]]))
+        end = F.array_max(F.transform(x["found"], lambda s: s["end"]))
+        return F.concat(F.array_join(shown, ""), part(x["pieces"], end, F.length(text)))
+
+    return let(F.struct(found.alias("found"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)).alias("pieces")), build)
+
+
 def redact(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets (overlapping spans by the
     first one's), and all columns kept as they are; a null text stays null."""
     model = model or fit(documents)
     text = F.col("text")
     ordered = F.array_sort(F.transform(F.filter(candidates(text), model.accepts), lambda s: F.struct(s["start"], s["kind"], s["end"])))
-    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-
-    def step(a: Column, s: Column) -> Column:
-        more = F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), names[s["kind"]])).alias("out"))
-        return F.when(s["start"] >= a["at"], more).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    redacted = let(ordered, lambda found: F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))))
-    return documents.withColumn("text", redacted)
+    return documents.withColumn("text", let(ordered, lambda found: F.when(F.size(found) > 0, _replaced(text, found)).otherwise(text)))
