@@ -45,10 +45,43 @@ WITH d AS (
 ), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
 ), h AS (
   SELECT host, count(*) AS n, CAST(count(*) FILTER (WHERE base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS DOUBLE) AS bad FROM f WHERE host IS NOT NULL GROUP BY host
-), m AS (SELECT least(greatest(coalesce(avg(bad / n), 0.5), 0.001), 0.999) AS mean, coalesce(var_samp(bad / n), 0) AS var FROM h
-), p AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1000) ELSE 1000 END AS strength FROM m
-), v AS (SELECT host, CAST(round((bad + mean * strength) / (n + strength), 9) AS DOUBLE) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate <= 0.5, TRUE) AS kept, rate AS host_rate FROM f LEFT JOIN v USING (host)
+), m AS (SELECT least(greatest(coalesce(avg(bad / n), 0.5), 0.001), 0.999) AS mean, coalesce(var_samp(bad / n), 0) AS var, coalesce(avg(1.0 / n), 0) AS chance FROM h
+), q AS (SELECT mean, var - mean * (1 - mean) * chance AS var FROM m
+), p AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 1000) ELSE 1000 END AS strength FROM q
+), t AS (SELECT *, round(least(greatest(mean + 3 * sqrt(mean * (1 - mean) / (strength + 1)), 2 * mean), 0.5), 6) AS cut FROM p
+), v AS (SELECT host, cut, CAST(round((bad + mean * strength) / (n + strength), 9) AS DOUBLE) AS rate FROM h, t)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate <= cut, TRUE) AS kept, rate AS host_rate FROM f LEFT JOIN v USING (host)
 """
 
-ORACLE_SQL = {"op2_near_join": NEAR_JOIN, "op3_decontamination": DECONTAMINATION, "op7_quality_rules": QUALITY}
+_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def _rule_cases(k: int) -> str:
+    cases = []
+    for rule in sorted(_RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, _, start = rule[1].partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{start}') THEN '{rule[k]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_LINK = """(?i)[\\x20\\t\\n\\f\\r]href[\\x20\\t\\n\\f\\r]*=[\\x20\\t\\n\\f\\r]*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\x20\\t\\n\\f\\r>]+)"""
+
+URL_FILTERS = f"""
+WITH RECURSIVE u AS (SELECT page_id, html, strpos(url, '://') AS cut, substr(url, strpos(url, '://') + 3) AS rest FROM pages
+), b AS (SELECT page_id, html, CASE WHEN cut > 0 THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') ELSE '' END AS host, CASE WHEN cut > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u
+), j AS (SELECT page_id, html, host, path, {_rule_cases(1)} AS rule, {_rule_cases(0)} AS by_rule FROM b
+), l AS (SELECT host AS src, translate(link, '{_UPPER}', '{_LOWER}') AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '{_LINK}', 1))) AS link FROM j WHERE host <> '')
+), e AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM l WHERE src <> dst GROUP BY src, dst
+), k AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE by_rule = 'allow') / count(*) AS trust, count(*) FILTER (WHERE by_rule = 'block') / count(*) AS distrust FROM j WHERE host <> '' GROUP BY host
+), seed AS (SELECT 'trust' AS kind, host, trust AS weight FROM k WHERE trust > 0 UNION ALL SELECT 'distrust', host, distrust FROM k WHERE distrust > 0
+), step AS (
+  SELECT 'trust' AS kind, src, dst, share, 0.0::DOUBLE AS jump FROM e UNION ALL SELECT 'distrust', dst, src, share, 0.0 FROM e UNION ALL SELECT kind, host, host, 0.0, weight FROM seed
+), r AS (
+  SELECT 0 AS i, kind, host, weight AS rank FROM seed
+  UNION ALL SELECT r.i + 1, r.kind, step.dst, sum(0.85::DOUBLE * r.rank * step.share + step.jump) FROM r JOIN step ON step.kind = r.kind AND step.src = r.host WHERE r.i < 20 GROUP BY r.i + 1, r.kind, step.dst
+), ranked AS (SELECT host, round(coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0), 12) AS trust, round(coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0), 12) AS distrust FROM r WHERE i = 20 GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+FROM j LEFT JOIN ranked ON ranked.host = j.host
+"""
+
+ORACLE_SQL = {"op2_near_join": NEAR_JOIN, "op3_decontamination": DECONTAMINATION, "op6_url_filters": URL_FILTERS, "op7_quality_rules": QUALITY}

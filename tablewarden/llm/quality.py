@@ -7,10 +7,12 @@ takes its documents along.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import looked_up, stored
 
 _BLANK = r"[\x20\x09-\x0D]+"
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -78,30 +80,36 @@ def rule_failed() -> Column:
 
 
 def host_verdicts(counts: DataFrame, most: float = 0.5) -> DataFrame:
-    """``host, rate, host_kept``: each host's failure rate, shrunk towards all hosts' by a beta prior whose
-    two parameters are fitted to the hosts' rates by moments."""
+    """``host, rate, host_kept``: each host's failure rate, shrunk towards all hosts' by a beta prior.
+
+    The prior's two parameters are fitted to the hosts' rates by moments, less the variance that chance alone
+    gives hosts of their sizes. A host is rejected if its shrunk rate lies three of the prior's standard
+    deviations above its mean and is twice the mean, or is above ``most``.
+    """
     hosts = counts.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(rule_failed().cast("long")).alias("bad"))
     rate = F.col("bad") / F.col("n")
-    m = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var")).first()  # one row
+    m = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("chance")).first()  # one row
     mean = min(max(m["mean"] if m["mean"] is not None else 0.5, 0.001), 0.999)
-    spread = m["var"] if m["var"] else 0.0
+    spread = (m["var"] or 0.0) - mean * (1 - mean) * (m["chance"] or 0.0)
     strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1000.0) if spread > 0 else 1000.0
+    cut = round(min(max(mean + 3 * math.sqrt(mean * (1 - mean) / (strength + 1)), 2 * mean), most), 6)
     shrunk = F.round((F.col("bad") + mean * strength) / (F.col("n") + strength), 9)
-    return hosts.select("host", shrunk.alias("rate"), (shrunk <= most).alias("host_kept"))
+    return hosts.select("host", shrunk.alias("rate"), (shrunk <= cut).alias("host_kept"))
 
 
 def judge_documents(documents: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
     """Counts and verdict of every document.
 
     Returns ``doc_id``, the five counts, ``base_failed``, ``kept`` and ``host_rate``. Words stand between
-    white space (0x20, 0x09 to 0x0D). ``kept`` is false if a base rule fails or if the host's shrunk rate
-    is above ``most``; a document without a host goes by its own rules. A null or empty text has no words
+    white space (0x20, 0x09 to 0x0D). ``kept`` is false if a base rule fails or if the host is rejected (see
+    ``host_verdicts``); a document without a host goes by its own rules. A null or empty text has no words
     and fails. Repeated rows stay, an empty table gives an empty result, other columns play no part.
     """
     rows = documents.select("doc_id", F.col(host).cast("string").alias("host"), "text")
     counts = stored(base_counts(rows, ["doc_id", "host"]), "quality-counts")
-    verdicts = host_verdicts(counts, most)
+    # written first: its known size lets it go to the documents, and not the documents to it
+    verdicts = stored(host_verdicts(counts, most), "quality-hosts")
     failed = base_failed()
-    return counts.join(verdicts, "host", "left").select(
+    return looked_up(counts, verdicts, ["host"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce("host_kept", F.lit(True))).alias("kept"), F.col("rate").alias("host_rate")
     )

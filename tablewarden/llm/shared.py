@@ -7,6 +7,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 #: Schemes that both Spark and the workers' own file access know: fixed values.
@@ -75,6 +76,24 @@ def bytes_of(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Stored (compressed) bytes up to which a table is broadcast.
+BROADCAST_BYTES = 8 << 20
+SALTS = 8
+
+
+def looked_up(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``df`` joined with a stored table that has each key once.
+
+    A table of few measured bytes is broadcast, so the rows of ``df`` stay where they are. A larger one is joined by
+    key and salt: the rows of a hot key are dealt to ``salts`` tasks, each with its copy of the key's one row.
+    """
+    if bytes_of(small) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(small), on, how)
+    spread = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return spread.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
