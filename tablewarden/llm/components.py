@@ -3,7 +3,7 @@
 Every round first contracts inside tasks: a task takes a bounded number of edges, joins them, and passes
 on one edge per node, to the least node it can reach. As soon as all edges fit one such task the round is
 the last. Larger graphs alternate this with star contraction (minima over neighbours), in which a hub's
-edges are reduced before they are dealt out.
+edges are reduced before they are dealt out, and dealt to several tasks where they meet its minimum.
 """
 
 from __future__ import annotations
@@ -15,22 +15,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import remove, stored, stored_at
+from .shared import looked_up, remove, stored, stored_at
 
 #: Edges that a task contracts: 16 bytes each, and about eight times that while it works.
 TASK_EDGES = 1_000_000
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the ``m`` of their u. A hub's edges are dealt to several tasks, each with its one row."""
+    return looked_up(edges, stored(least, "least-neighbours"), ["u"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
@@ -76,7 +81,7 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES, rounds: int = 60)
             remove(spark, where)
         if tasks == 1:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        starred = stored(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        starred = stored(_small_star(stored(_large_star(edges).distinct(), "edges")).distinct(), "edges")
         # stars that a further round would not change: every node once, and no centre is a leaf
         settled = starred.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and starred.join(starred.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
         if settled and starred.count() == edges.count() and starred.exceptAll(edges).isEmpty():

@@ -2,8 +2,9 @@
 
 Documents with one and the same shingle set are one node. Nodes are dealt to tasks by connected groups of
 min-hash band collisions (a pair at the threshold misses all bands with probability 1e-11); inside a
-group a signature tree finds the links exactly (see ``signature_tree``). Groups too large for a task are
-cut into blocks that share pivots; what the pivots do not connect is compared with every block.
+group a signature tree finds the links exactly (see ``signature_tree``). A group too large for a task is
+the top of a tree whose nodes are dealt out: first blocks that share pivots; then pairs of nodes, of which only
+those whose ranges of sizes allow a link are formed, for the sets that the pivots left apart.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .pretokens import mix
-from .shared import stored
+from .shared import BROADCAST_BYTES, bytes_of, looked_up, looked_up_counted, stored
 from .signature_tree import links
 from .words import BLANK_SEPARATED, shingle_sets, text_chunks, words_of
 
@@ -26,11 +27,11 @@ SHINGLE = 5
 BANDS, ROWS = 48, 4
 #: Postings in a bucket, and shingles in a task of the tree join: both bound a task's memory.
 BUCKET_POSTINGS = 1_000_000
-TASK_SHINGLES = 2_000_000
-#: A list of candidates up to this many rows (24 bytes each) is broadcast; a longer one is joined.
-BROADCAST_ROWS = 400_000
+TASK_SHINGLES = 200_000
 PIVOTS = 16
 _LOCAL = 400_000
+#: Sets that a task remembers to have posted; one that is posted again does no harm.
+_SEEN = 1_000_000
 
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _TWO = np.uint64(0xA24BAED4963EE407)
@@ -134,6 +135,8 @@ def _signatures(buckets: int):
                     postings.add(band_keys(some, np.concatenate([[0], np.cumsum(size)])), s1[new])
                 if postings.n >= _LOCAL:
                     yield from flushed()
+                if len(seen) > _SEEN:
+                    seen.clear()
         yield from flushed()
 
     return scan
@@ -201,31 +204,42 @@ def _tree_links(sets: DataFrame, percent: int, task_shingles: int) -> DataFrame:
     sizes = sets.groupBy("component").agg(F.sum("n").alias("total"))
     total = sizes.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     bins = max(int(total // task_shingles) * 2, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    whole = sets.join(sizes.where(F.col("total") <= task_shingles), "component").withColumn("label", F.col("node"))
-    whole = whole.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(bins)))
+    # groups beyond a task's size: fewer than tasks, so their list is small
+    large = stored(sizes.where(F.col("total") > task_shingles), "large-groups")
+    some = not large.isEmpty()
+    whole = sets.join(F.broadcast(large.select("component")), "component", "left_anti") if some else sets
+    whole = whole.withColumn("label", F.col("node")).withColumn("task", F.pmod(F.xxhash64("component"), F.lit(bins)))
     fields = ["component", "node", "label", "values"]
     found = stored(whole.select("task", *fields).groupBy("task").applyInArrow(task, "u long, v long"), "links")
-    large = stored(sizes.where(F.col("total") > task_shingles), "large-groups")
-    if large.isEmpty():
+    if not some:
         return found
+    half = task_shingles // 2
     # blocks of a large group, each with the group's pivots
-    blocks = F.ceil(F.col("total") / F.lit(task_shingles // 2))
-    rows = sets.join(large, "component").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)))
-    pivots = rows.groupBy("component", "salt").agg(F.min("node").alias("node")).drop("salt")
-    shared = rows.join(pivots, ["component", "node"]).withColumn("block", _upto(blocks))
+    blocks = F.ceil(F.col("total") / F.lit(half))
+    rows = looked_up(sets, large, ["component"]).withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)))
+    pivots = stored(rows.groupBy("component", "salt").agg(F.min("node").alias("node")).drop("salt"), "pivots")
+    shared = looked_up(rows, pivots, ["component", "node"]).withColumn("block", _upto(blocks))
     first = rows.unionByName(shared).withColumn("label", F.col("node")).select("block", *fields)
     found = stored(found.union(first.groupBy("component", "block").applyInArrow(task, "u long, v long")), "links")
-    # what the pivots did not bring into the group's main component meets every block
+    # sets whose sizes lie more than one step apart cannot be similar enough: a step is one node of the tree
     labels = components(found)
-    named = rows.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    main = named.groupBy("component", "label").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("label", "m").alias("main"))
-    named = stored(named.join(main, "component"), "large-sets")
+    step = F.floor(F.log(100.1 / percent, F.col("n").cast("double"))).cast("int")
+    named = rows.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("step", step)
+    main = stored(named.groupBy("component", "label").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("label", "m").alias("main")), "main-components")
+    named = stored(looked_up(named, main, ["component"]).select("component", "node", "label", "main", "n", "step", "values"), "large-sets")
     rest = named.where("label <> main")
-    chunks = rest.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(task_shingles // 2)).alias("chunks"))
-    left = named.join(chunks, "component").withColumn("chunk", _upto(F.col("chunks")))
-    right = rest.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks"))).withColumn("block", _upto(blocks))
-    second = left.unionByName(right).select("block", "chunk", *fields)
-    return found.union(second.groupBy("component", "block", "chunk").applyInArrow(task, "u long, v long"))
+    if rest.isEmpty():
+        return found
+    # what the pivots did not bring into the group's main component meets every node that it may have a link to
+    count = lambda df, name: stored(df.groupBy("component", "step").agg(F.ceil(F.sum("n") / F.lit(half)).alias(name)), name)
+    mine, theirs = count(rest, "chunks"), count(named, "nodes")
+    near = F.explode(F.array(*(F.col("step") + d for d in (-1, 0, 1))))
+    left = looked_up(named.withColumn("to", near), mine.withColumnRenamed("step", "to"), ["component", "to"])
+    left = looked_up(left, theirs, ["component", "step"]).withColumn("node_of", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nodes"))).withColumn("chunk", _upto(F.col("chunks")))
+    right = looked_up(rest.withColumn("from", near), theirs.withColumnRenamed("step", "from"), ["component", "from"])
+    right = looked_up(right, mine, ["component", "step"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks"))).withColumn("node_of", _upto(F.col("nodes")))
+    pairs = left.select("to", "chunk", F.col("step").alias("from"), "node_of", *fields).unionByName(right.select(F.col("step").alias("to"), "chunk", "from", "node_of", *fields))
+    return found.union(pairs.groupBy("component", "to", "chunk", "from", "node_of").applyInArrow(task, "u long, v long"))
 
 
 def near_classes(documents: DataFrame, percent: int = 80, task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -245,15 +259,16 @@ def near_classes(documents: DataFrame, percent: int = 80, task_shingles: int = T
     met = scanned.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "u long, v long")
     edges = scanned.where("u is not null").select("u", "v").union(met)
     groups = components(edges)
-    classes = stored(docs.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "near-classes")
+    classes = stored(docs.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "near-classes")
     wanted = stored(groups.join(classes, groups["node"] == classes["s1"]).select("component", "node", F.col("least").alias("doc_id"), "n"), "near-candidates")
-    small = wanted.count() <= BROADCAST_ROWS
-    sets = stored(_sets(rows.join(F.broadcast(wanted) if small else wanted, "doc_id").select("component", "node", "n", "text")), "near-sets")
+    asked = rows.join(F.broadcast(wanted), "doc_id") if bytes_of(wanted) <= BROADCAST_BYTES else rows.join(wanted, "doc_id")
+    sets = stored(_sets(asked.select("component", "node", "n", "text")), "near-sets")
     found = components(_tree_links(sets, percent, task_shingles))
     named = classes.join(found.withColumnRenamed("node", "s1"), "s1", "left")
-    named = named.withColumn("a", F.coalesce("component", "s1")).withColumn("b", F.when(F.col("component").isNull(), F.col("s2")).otherwise(F.lit(0)))
-    least = named.groupBy("a", "b").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, ["a", "b"]).select("s1", "s2", "component_id")
-    out = docs.join(by_class, ["s1", "s2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    # a class that has neither copies nor links is its own component and needs no look-up
+    several = stored(named.where("copies > 1 or component is not null").withColumn("a", F.coalesce("component", "s1")).withColumn("b", F.when(F.col("component").isNull(), F.col("s2")).otherwise(F.lit(0))), "near-several")
+    least = stored(several.groupBy("a", "b").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "near-least")
+    by_class = stored(looked_up_counted(several, least, ["a", "b"], "members").select("s1", "s2", "component_id", "copies"), "near-components")
+    real = docs.where("n > 0 and doc_id is not null")
+    out = looked_up_counted(real, by_class, ["s1", "s2"], "copies", "left").select("doc_id", "n", "component_id").unionByName(docs.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, near_join, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity, url_filters
 from .oracles import ORACLE_SQL  # noqa: F401
@@ -53,7 +54,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.withColumn("links", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["class_id"], x["keep_doc_id"])), ","))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,24 @@ def looked_up(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner"
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
+#: Parts of all rows: a key with more than one of them is hot.
+HOT_PARTS = 2000
+
+
+def looked_up_counted(df: DataFrame, small: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """As ``looked_up``, for a large stored table that knows how many rows of ``df`` each key has (column ``n``, which
+    stays): rows of hot keys, of which there are ``HOT_PARTS`` at most, stay where they are, and only the others
+    are dealt out by key."""
+    if bytes_of(small) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(small), on, how)
+    total = small.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = stored(small.where(F.col(n) > max(total // HOT_PARTS, 1)), "hot-keys")
+    if hot.isEmpty():
+        return df.join(small, on, how)
+    keys = F.broadcast(hot.select(*on))
+    return df.join(F.broadcast(hot), on).unionByName(df.join(keys, on, "left_anti").join(small, on, how))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

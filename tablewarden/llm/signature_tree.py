@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF = 32
-FANOUT = 8
+LEAF = 8
+FANOUT = 4
 BITS = 2048
 
 

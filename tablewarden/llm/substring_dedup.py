@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .near_join import BROADCAST_ROWS, BUCKET_POSTINGS, TASK_SHINGLES, Postings, _meet, _tree_links, band_keys, set_ids
+from .near_join import BUCKET_POSTINGS, TASK_SHINGLES, Postings, _meet, _tree_links, band_keys, set_ids
 from .pretokens import mix
-from .shared import stored
+from .shared import BROADCAST_BYTES, bytes_of, looked_up_counted, stored
 from .words import BLANK_SEPARATED, Words, shingles, text_chunks, words_of
 
 SHINGLE = 5
@@ -210,15 +210,22 @@ def _windows(least: int):
     return scan
 
 
+def _asked(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The documents that are to be read again, with what is asked of each."""
+    return rows.join(F.broadcast(asked) if bytes_of(asked) <= BROADCAST_BYTES else asked, "doc_id")
+
+
 def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, percent: int = 80) -> DataFrame:
-    """``doc_id, start, end, class_id, keep_doc_id``: spans (code points, end exclusive) that repeat an
+    """``doc_id, start, end, class_id, keep_doc_id, links``: spans (code points, end exclusive) that repeat an
     earlier passage, and the document that keeps it.
 
     Every run of ``least_words`` words that stands earlier is in a span, wherever it begins, and so is a line
-    whose near copy stands earlier. A class's first occurrence, by ``doc_id`` and place, stays. Overlapping spans of a document are merged
-    and carry the least class and the least keeping document. Rows that share a ``doc_id`` are one document.
-    Texts without a paragraph of ``least_words`` words, null and empty texts and rows without ``doc_id``
-    give no rows; an empty table gives an empty result; other columns play no part.
+    whose near copy stands earlier. A class's first occurrence, by ``doc_id`` and place, stays. Overlapping spans of
+    a document are merged; ``links`` lists each class in the merged span with its keeping document, and
+    ``class_id`` and ``keep_doc_id`` are the least of these. Rows that share a ``doc_id`` are one document: repeated
+    rows give their spans once, and places in different texts of one id are not told apart. Texts without a
+    paragraph of ``least_words`` words, null and empty texts and rows without ``doc_id`` give no rows; an empty
+    table gives an empty result; texts of any length are read whole; other columns play no part.
     """
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(documents.count() * BANDS * 8 // BUCKET_POSTINGS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -226,33 +233,31 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, perc
     units = scanned.where("node is not null").select("doc_id", "start", "end", "node", "anchor")
     met = scanned.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "u long, v long")
     groups = components(scanned.where("u is not null").select("u", "v").union(met))
+    # a count by unit first, with the first document that has it: all that follows joins these, not the units
+    place = F.struct("doc_id", "start")
+    counts = stored(units.groupBy("node", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"), F.max(place).alias("most")), "passage-counts")
     # lines that collided: their sets are read again from the one document that stands for each
-    source = units.where("anchor is null").join(groups, "node").groupBy("component", "node").agg(F.min("doc_id").alias("doc_id"))
+    source = counts.where("anchor is null").join(groups, "node").select("component", "node", F.col("least.doc_id").alias("doc_id"))
     wanted = stored(source.groupBy("doc_id").agg(F.collect_list(F.struct("component", "node")).alias("wanted")), "passage-lines")  # at most a document's lines
-    small = wanted.count() <= BROADCAST_ROWS // 4
-    sets = rows.join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "wanted").mapInArrow(_line_sets(least_words), "component long, node long, n long, values binary")
+    sets = _asked(rows, wanted).select("text", "wanted").mapInArrow(_line_sets(least_words), "component long, node long, n long, values binary")
     near = components(_tree_links(stored(sets.dropDuplicates(["component", "node"]), "passage-sets"), percent, TASK_SHINGLES))
-    # units that can have a double: a count by node first, so that all others leave before they are dealt out
-    counts = stored(units.groupBy("node", "anchor").agg(F.count(F.lit(1)).alias("n")), "passage-counts")
     # different stretches with one anchor: their windows are compared one by one, in the document that stands for each
-    shared = counts.where("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
-    mixed = units.join(counts.join(shared, "anchor").select("node", "anchor"), ["node", "anchor"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shared = counts.where("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    mixed = looked_up_counted(counts.where("anchor is not null"), stored(shared, "passage-anchors"), ["anchor"], "m").select(F.col("least.doc_id").alias("doc_id"), "node")
     asked = stored(mixed.groupBy("doc_id").agg(F.collect_list("node").alias("asked")), "passage-stretches")  # at most a document's stretches
-    small = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    windows = rows.join(F.broadcast(asked) if small else asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(least_words), "doc_id long, start long, end long, node long")
-    windows = stored(windows, "passage-windows")
-    again = windows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    several = counts.where("n > 1").select("node").union(near.select("node")).distinct()
-    units = stored(units.select("doc_id", "start", "end", "node").join(several, "node").unionByName(windows.join(again, "node")), "passages-several")
-    place = F.struct("doc_id", "start")
-    counted = units.groupBy("node").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    named = counted.join(near, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
-    keepers = named.groupBy("class_id").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most")
-    repeated = stored(named.join(keepers.select("class_id", F.col("least").alias("keep")), "class_id").select("node", "class_id", "keep"), "passage-classes")
-    spans = units.join(repeated, "node").where(F.struct("doc_id", "start") != F.col("keep")).select("doc_id", "start", "end", "class_id", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
+    windows = stored(_asked(rows, asked).select("doc_id", "text", "asked").mapInArrow(_windows(least_words), "doc_id long, start long, end long, node long"), "passage-windows")
+    again = windows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"), F.max(place).alias("most")).where("n > 1")
+    # a unit can be told by a window's and a line's fingerprint at once: both counts go together
+    counted = counts.select("node", "n", "least", "most").unionByName(again).groupBy("node").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    named = stored(counted.join(near, "node", "left").where("n > 1 or component is not null").withColumn("class_id", F.coalesce("component", "node")).drop("component"), "passage-several")
+    keepers = named.groupBy("class_id").agg(F.min("least").alias("keep"), F.max("most").alias("most"), F.count(F.lit(1)).alias("members")).where("keep <> most").drop("most")
+    repeated = stored(looked_up_counted(named, stored(keepers, "passage-keepers"), ["class_id"], "members").select("node", "class_id", "keep", "n"), "passage-classes")
+    told = units.select("doc_id", "start", "end", "node").unionByName(windows)
+    spans = looked_up_counted(told, repeated, ["node"], "n").where(place != F.col("keep")).select("doc_id", "start", "end", "class_id", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
     # spans of one document: merge what overlaps
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = spans.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("class_id").alias("class_id"), F.min("keep_doc_id").alias("keep_doc_id"))
-    return merged.select("doc_id", "start", "end", "class_id", "keep_doc_id")
+    links = F.array_sort(F.collect_set(F.struct("class_id", "keep_doc_id")))  # at most a document's units
+    merged = spans.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("class_id").alias("class_id"), F.min("keep_doc_id").alias("keep_doc_id"), links.alias("links"))
+    return merged.select("doc_id", "start", "end", "class_id", "keep_doc_id", "links")

@@ -223,6 +223,66 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(frame.limit(0)).collect() == []
 
 
+def test_merged_spans_keep_all_their_links(spark):
+    r = random.Random(8)
+    a, b = sentences(r, 6, "a"), sentences(r, 6, "b")
+    both = f"{a} {b}"
+    docs = spark.createDataFrame([(1, a), (2, b), (3, both), (3, both), (4, "é " * 100_000 + both)], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(docs, percent=100).collect()
+    long = [x for x in got if x.doc_id == 4 and x.start >= 200_000]
+    assert {x.keep_doc_id for y in long for x in y.links} == {1, 2, 3} or {x.keep_doc_id for y in long for x in y.links} == {1, 2}
+    third = [x for x in got if x.doc_id == 3]
+    assert {x.keep_doc_id for y in third for x in y.links} >= {1, 2}
+    assert all(y.class_id == min(x.class_id for x in y.links) and y.keep_doc_id == min(x.keep_doc_id for x in y.links) for y in got)
+    assert sum(len(y.links) for y in third) == len({(x.class_id, y.start) for y in third for x in y.links})
+
+
+def test_recall_of_near_passages(spark):
+    """Passages whose five-word shingles are 0.8 alike, as lines and inside lines: found at all, against brute force."""
+    r = random.Random(12)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    docs, planted = [], []
+    for i in range(120):
+        base = say(r.randint(55, 200))
+        copy = list(base)
+        for _ in range(r.choice((1, 1, 2, 3))):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        if not linked(shingles(" ".join(base)), shingles(" ".join(copy))):
+            continue
+        join = "\n" if i % 2 else " "
+        docs += [(2 * i, join.join(map(" ".join, (say(20), base, say(20))))), (2 * i + 1, join.join(map(" ".join, (say(25), copy, say(25)))))]
+        planted.append((2 * i + 1, i % 2))
+    got = {x.doc_id for x in substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not {d for d in got if d % 2 == 0}
+    for line, name in ((1, "lines"), (0, "inside lines")):
+        of = [d for d, x in planted if x == line]
+        recall = sum(d in got for d in of) / len(of)
+        print(f"near passages as {name}: {recall:.3f} of {len(of)}")
+        assert recall >= 0.9
+
+
+@pytest.mark.parametrize("size", [8 << 20, 0])
+def test_hot_groups(spark, size, monkeypatch):
+    """Half of all rows are copies of one text, near copies of it or empty; lists too large to be broadcast."""
+    from tablewarden.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(near_join, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(shared, "HOT_PARTS", 4)
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    near = lambda: " ".join([*base[: (k := r.randrange(60))], f"x{r.randrange(9**9)}", *base[k + 1 :]])
+    texts = [" ".join(base)] * 60 + [near() for _ in range(60)] + [""] * 60 + [" ".join(f"y{r.randrange(9**9)}" for _ in range(60)) for _ in range(60)]
+    docs = list(enumerate(texts))
+    sets = {i: shingles(t) for i, t in docs}
+    want = roots(sets, [(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert {x.doc_id: x.component_id for x in near_join.near_classes(frame, task_shingles=600).collect()} == want
+    found = {x.doc_id for x in substring_dedup.repeated_passages(frame).collect()}
+    assert found == set(range(1, 120))
+
+
 def brute_windows(docs, least):
     """Words (by document and place) of every run of ``least`` words that stands earlier."""
     seen, out = set(), set()
