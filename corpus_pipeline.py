@@ -2,8 +2,8 @@
 
 ``STAGES`` lists the stages in order. Each takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``. All but the last keep the columns of
-``documents``. Every stage decides by row, with or without a ``doc_id``, and of near copies one row stays; null and empty texts pass through every stage and are packed as their end id alone; empty
-tables give empty results.
+``documents``. Every stage decides by row, with or without a ``doc_id``, and of near copies one row stays; null
+and empty texts pass through every stage and are packed as their end id alone; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import decontamination, near_join, packing, pii, toxicity
 from tablewarden.llm.queries import vocabulary
-from tablewarden.llm.shared import stored
+from tablewarden.llm.shared import BROADCAST_BYTES, bytes_of, stored
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     last; of repeated rows one stays). A row whose set is empty stays."""
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     classes = near_join.near_classes(rows.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0")
-    members = stored(classes.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row"), "near-members")
+    own = classes.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    members = stored(own, "near-members")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
     stays = members.groupBy("component_id").agg(first.alias("first")).select("first.__row")
     gone = stored(members.join(stays, "__row", "left_anti").select("__row"), "near-gone")
-    small = gone.count() <= near_join.BROADCAST_ROWS
+    small = bytes_of(gone) <= BROADCAST_BYTES
     return rows.join(F.broadcast(gone) if small else gone, "__row", "left_anti").select(*docs.columns)
 
 
