@@ -233,27 +233,31 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, perc
     units = scanned.where("node is not null").select("doc_id", "start", "end", "node", "anchor")
     met = scanned.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "u long, v long")
     groups = components(scanned.where("u is not null").select("u", "v").union(met))
-    # a count by unit first, with the first document that has it: all that follows joins these, not the units
-    place = F.struct("doc_id", "start")
-    counts = stored(units.groupBy("node", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"), F.max(place).alias("most")), "passage-counts")
+    # a count by unit first, with a document that has it: what asks for documents joins these, not the units
+    counts = stored(units.groupBy("node", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")), "passage-counts")
     # lines that collided: their sets are read again from the one document that stands for each
-    source = counts.where("anchor is null").join(groups, "node").select("component", "node", F.col("least.doc_id").alias("doc_id"))
+    source = counts.where("anchor is null").join(groups, "node").select("component", "node", "doc_id")
     wanted = stored(source.groupBy("doc_id").agg(F.collect_list(F.struct("component", "node")).alias("wanted")), "passage-lines")  # at most a document's lines
     sets = _asked(rows, wanted).select("text", "wanted").mapInArrow(_line_sets(least_words), "component long, node long, n long, values binary")
     near = components(_tree_links(stored(sets.dropDuplicates(["component", "node"]), "passage-sets"), percent, TASK_SHINGLES))
     # different stretches with one anchor: their windows are compared one by one, in the document that stands for each
     shared = counts.where("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    mixed = looked_up_counted(counts.where("anchor is not null"), stored(shared, "passage-anchors"), ["anchor"], "m").select(F.col("least.doc_id").alias("doc_id"), "node")
+    mixed = looked_up_counted(counts.where("anchor is not null").select("anchor", "node", "doc_id"), stored(shared, "passage-anchors"), ["anchor"], "m")
     asked = stored(mixed.groupBy("doc_id").agg(F.collect_list("node").alias("asked")), "passage-stretches")  # at most a document's stretches
     windows = stored(_asked(rows, asked).select("doc_id", "text", "asked").mapInArrow(_windows(least_words), "doc_id long, start long, end long, node long"), "passage-windows")
-    again = windows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"), F.max(place).alias("most")).where("n > 1")
-    # a unit can be told by a window's and a line's fingerprint at once: both counts go together
-    counted = counts.select("node", "n", "least", "most").unionByName(again).groupBy("node").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    named = stored(counted.join(near, "node", "left").where("n > 1 or component is not null").withColumn("class_id", F.coalesce("component", "node")).drop("component"), "passage-several")
+    again = stored(windows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-windows-again")
+    # units that can have a double leave the others behind before anything is dealt out
+    several = counts.where("n > 1").select("node", "n").unionByName(near.select("node", F.lit(1).cast("long").alias("n"))).groupBy("node").agg(F.sum("n").alias("n"))
+    own = looked_up_counted(units.select("doc_id", "start", "end", "node"), stored(several, "passage-nodes"), ["node"], "n").drop("n")
+    found = stored(own.unionByName(looked_up_counted(windows, again, ["node"], "n").drop("n")), "passages-several")
+    place = F.struct("doc_id", "start")
+    named = found.groupBy("node").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count(F.lit(1)).alias("n"))
+    named = stored(named.join(near, "node", "left").withColumn("class_id", F.coalesce("component", "node")).drop("component"), "passage-named")
     keepers = named.groupBy("class_id").agg(F.min("least").alias("keep"), F.max("most").alias("most"), F.count(F.lit(1)).alias("members")).where("keep <> most").drop("most")
     repeated = stored(looked_up_counted(named, stored(keepers, "passage-keepers"), ["class_id"], "members").select("node", "class_id", "keep", "n"), "passage-classes")
-    told = units.select("doc_id", "start", "end", "node").unionByName(windows)
-    spans = looked_up_counted(told, repeated, ["node"], "n").where(place != F.col("keep")).select("doc_id", "start", "end", "class_id", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
+    spans = looked_up_counted(found, repeated, ["node"], "n").where(place != F.col("keep")).select("doc_id", "start", "end", "class_id", F.col("keep.doc_id").alias("keep_doc_id"))
+    # dealt out by document once, for both what follows
+    spans = spans.repartition("doc_id").distinct()
     # spans of one document: merge what overlaps
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
