@@ -67,7 +67,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executors are lost later. The caller's session removes the folder when it is no longer needed."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,17 +99,15 @@ HOT_PARTS = 2000
 
 
 def looked_up_counted(df: DataFrame, small: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
-    """As ``looked_up``, for a large stored table that knows how many rows of ``df`` each key has (column ``n``, which
-    stays): rows of hot keys, of which there are ``HOT_PARTS`` at most, stay where they are, and only the others
-    are dealt out by key."""
-    if bytes_of(small) <= BROADCAST_BYTES:
-        return df.join(F.broadcast(small), on, how)
+    """``df`` joined with a stored table that grows with it, has each key once and knows how many rows of ``df``
+    each key has (column ``n``, which stays). Rows of hot keys, of which there are ``HOT_PARTS`` at most, stay where
+    they are, and all others are dealt out by key, at every size alike."""
     total = small.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot = stored(small.where(F.col(n) > max(total // HOT_PARTS, 1)), "hot-keys")
     if hot.isEmpty():
-        return df.join(small, on, how)
+        return df.join(small.hint("merge"), on, how)
     keys = F.broadcast(hot.select(*on))
-    return df.join(F.broadcast(hot), on).unionByName(df.join(keys, on, "left_anti").join(small, on, how))
+    return df.join(F.broadcast(hot), on).unionByName(df.join(keys, on, "left_anti").join(small.hint("merge"), on, how))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -121,3 +119,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def stored_at(df: DataFrame) -> str:
     """Where ``stored`` put a table."""
     return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Remove stored tables from which everything that is still needed has been written elsewhere."""
+    for t in tables:
+        if where := stored_at(t):
+            remove(t.sparkSession, where)

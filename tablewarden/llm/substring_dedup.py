@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .near_join import BUCKET_POSTINGS, TASK_SHINGLES, Postings, _meet, _tree_links, band_keys, set_ids
+from .near_join import BUCKET_POSTINGS, Postings, _meet, _tree_links, band_keys, set_ids
 from .pretokens import mix
-from .shared import BROADCAST_BYTES, bytes_of, looked_up_counted, stored
+from .shared import BROADCAST_BYTES, bytes_of, done_with, looked_up_counted, stored
 from .words import BLANK_SEPARATED, Words, shingles, text_chunks, words_of
 
 SHINGLE = 5
@@ -29,6 +29,8 @@ SHINGLE = 5
 BANDS, ROWS = 12, 4
 #: Words that a passage has at least.
 LEAST_WORDS = 30
+#: Shingles of the lines that a task compares.
+TASK_SHINGLES = 25_000
 
 _ODD = mix(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -239,7 +241,9 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, perc
     source = counts.where("anchor is null").join(groups, "node").select("component", "node", "doc_id")
     wanted = stored(source.groupBy("doc_id").agg(F.collect_list(F.struct("component", "node")).alias("wanted")), "passage-lines")  # at most a document's lines
     sets = _asked(rows, wanted).select("text", "wanted").mapInArrow(_line_sets(least_words), "component long, node long, n long, values binary")
-    near = components(_tree_links(stored(sets.dropDuplicates(["component", "node"]), "passage-sets"), percent, TASK_SHINGLES))
+    sets = stored(sets.dropDuplicates(["component", "node"]), "passage-sets")
+    near = components(_tree_links(sets, percent, TASK_SHINGLES))
+    done_with(sets, wanted)
     # different stretches with one anchor: their windows are compared one by one, in the document that stands for each
     shared = counts.where("anchor is not null").groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     mixed = looked_up_counted(counts.where("anchor is not null").select("anchor", "node", "doc_id"), stored(shared, "passage-anchors"), ["anchor"], "m")
@@ -250,11 +254,13 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, perc
     several = counts.where("n > 1").select("node", "n").unionByName(near.select("node", F.lit(1).cast("long").alias("n"))).groupBy("node").agg(F.sum("n").alias("n"))
     own = looked_up_counted(units.select("doc_id", "start", "end", "node"), stored(several, "passage-nodes"), ["node"], "n").drop("n")
     found = stored(own.unionByName(looked_up_counted(windows, again, ["node"], "n").drop("n")), "passages-several")
+    done_with(scanned, counts, windows, asked, again)
     place = F.struct("doc_id", "start")
     named = found.groupBy("node").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count(F.lit(1)).alias("n"))
     named = stored(named.join(near, "node", "left").withColumn("class_id", F.coalesce("component", "node")).drop("component"), "passage-named")
     keepers = named.groupBy("class_id").agg(F.min("least").alias("keep"), F.max("most").alias("most"), F.count(F.lit(1)).alias("members")).where("keep <> most").drop("most")
     repeated = stored(looked_up_counted(named, stored(keepers, "passage-keepers"), ["class_id"], "members").select("node", "class_id", "keep", "n"), "passage-classes")
+    done_with(named)
     spans = looked_up_counted(found, repeated, ["node"], "n").where(place != F.col("keep")).select("doc_id", "start", "end", "class_id", F.col("keep.doc_id").alias("keep_doc_id"))
     # dealt out by document once, for both what follows
     spans = spans.repartition("doc_id").distinct()
