@@ -21,22 +21,31 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+_SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+
+
+def shaped(c: Column, shape: str) -> Column:
+    """Whether a cell has a shape but for white space around it. Most cells that do not are told by their first
+    character, and only those that do are trimmed and cast."""
+    return c.rlike(rf"^{_SPACE}(?:{shape.removeprefix('^').removesuffix(chr(92) + 'z')}){_SPACE}\z")
+
+
 def parse_text(c: Column, kind: str) -> Column:
     """The typed value of a text cell, or null if it does not parse."""
     if kind == "string":
         return c
     t = trimmed(c)
     if kind == "int":
-        return F.when(t.rlike(r"^[+-]?[0-9]+\z"), t.try_cast("bigint"))
+        return F.when(shaped(c, r"^[+-]?[0-9]+\z"), t.try_cast("bigint"))
     if kind == "float":
         value = t.try_cast("double")
-        return F.when(t.rlike(FLOAT_SHAPE) & (F.abs(value) < float("inf")), value)
+        return F.when(shaped(c, FLOAT_SHAPE) & (F.abs(value) < float("inf")), value)
     if kind == "bool":
         low = F.lower(t)
         return F.when(low.isin(*TRUE_WORDS), F.lit(True)).when(low.isin(*FALSE_WORDS), F.lit(False))
     if kind == "date":
-        return F.when(t.rlike(DATE_SHAPE), t.try_cast("date"))
-    return F.when(t.rlike(DATETIME_SHAPE), t.try_cast("timestamp"))
+        return F.when(shaped(c, DATE_SHAPE), t.try_cast("date"))
+    return F.when(shaped(c, DATETIME_SHAPE), t.try_cast("timestamp"))
 
 
 def sketched(c: Column) -> Column:

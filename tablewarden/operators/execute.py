@@ -225,27 +225,28 @@ class Run:
         wanted = [(c, r) for c, r in zip(self.checks, results, strict=True) if r.outcome.failed and r.outcome.rows_failed and (c.bad is not None or c.job and c.job[0] in ("primary_key", "references"))]
         if not wanted or not self.n:
             return
-        frame = self.frame if samples.ROW in self.frame.columns else samples.numbered(self.frame)
+        frame = samples.located(self.frame)
         with ThreadPoolExecutor(max_workers=8) as pool:
+            self.sizes = pool.submit(samples.partition_sizes, self.frame).result
             for (_, r), found in zip(wanted, pool.map(lambda x: self._sample(frame, x[0]), wanted), strict=True):
                 r.samples = found
 
     def _sample(self, frame: DataFrame, c: Planned) -> list[dict]:
         if not c.job:
-            return samples.first_rows(frame, c.bad, c.value, self.n)
+            return samples.first_rows(frame, c.bad, c.value, self.n, self.sizes)
         if c.job[0] == "distinct":
-            return samples.repeated_rows(frame, [c.job[1]], c.value, self.n)
+            return samples.repeated_rows(frame, [c.job[1]], c.value, self.n, self.sizes)
         columns = c.job[1] if c.job[0] == "primary_key" else c.job[1][0]
         texts = key_jobs.key_texts(frame, columns)
         shown = F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), F.coalesce(t, F.lit("(null)"))) for n, t in zip(columns, texts, strict=True)))
         if c.job[0] == "references":
             bad = key_jobs.orphans(frame, *c.job[1])
-            return samples.first_rows(bad, F.lit(True), shown, self.n)
+            return samples.first_rows(bad, F.lit(True), shown, self.n, self.sizes)
         whole = F.lit(True)
         for t in texts:
             whole = whole & t.isNotNull()
-        nulls = samples.first_rows(frame, ~whole, shown, self.n)
-        return sorted([*nulls, *samples.repeated_rows(frame, texts, shown, self.n)], key=lambda s: s["row"])[: self.n]
+        nulls = samples.first_rows(frame, ~whole, shown, self.n, self.sizes)
+        return sorted([*nulls, *samples.repeated_rows(frame, texts, shown, self.n, self.sizes)], key=lambda s: s["row"])[: self.n]
 
 
 def run_check(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contract.model import number, render
-from ..functions.typed import DATE_SHAPE, DATETIME_SHAPE, FALSE_WORDS, FLOAT_SHAPE, TRUE_WORDS, as_text, nested_kind, sketched, trimmed
+from ..functions.typed import DATE_SHAPE, DATETIME_SHAPE, FLOAT_SHAPE, as_text, nested_kind, shaped, sketched, trimmed
 from ..plans.planner import NestedColumnError, name_of
 
 MOST_VALUES, LONGEST_VALUE = 25, 64
@@ -56,7 +57,7 @@ def _number_of(frame: DataFrame, name: str, text: Column) -> Column:
     if isinstance(given, T.NumericType):
         value = name_of(name).cast("double")
     elif isinstance(given, T.StringType):
-        value = F.when(trimmed(text).rlike(FLOAT_SHAPE), trimmed(text).try_cast("double"))
+        value = F.when(shaped(text, FLOAT_SHAPE), trimmed(text).try_cast("double"))
     else:
         return F.lit(None).cast("double")
     return F.when(F.abs(value) < float("inf"), value)
@@ -97,13 +98,12 @@ def profile_slots(names: list[str], exact: bool = False) -> dict[str, Column]:
 def detectors(text: Column) -> dict[str, Column]:
     """Whether a cell could be of each type a draft may infer, in the order in which they are tried."""
     t = trimmed(text)
-    low = F.lower(t)
     return {
-        "bool": low.isin(*[w for w in TRUE_WORDS + FALSE_WORDS if w in ("true", "false")]),
-        "int": t.rlike(r"^[+-]?[0-9]+\z") & t.try_cast("bigint").isNotNull(),
-        "float": t.rlike(FLOAT_SHAPE),
-        "datetime": t.rlike(DATETIME_SHAPE) & ~t.rlike(DATE_SHAPE) & t.try_cast("timestamp").isNotNull(),
-        "date": t.rlike(DATE_SHAPE) & t.try_cast("date").isNotNull(),
+        "bool": shaped(text, "(?i:true|false)"),
+        "int": shaped(text, r"^[+-]?[0-9]+\z") & t.try_cast("bigint").isNotNull(),
+        "float": shaped(text, FLOAT_SHAPE),
+        "datetime": shaped(text, DATETIME_SHAPE) & ~shaped(text, DATE_SHAPE) & t.try_cast("timestamp").isNotNull(),
+        "date": shaped(text, DATE_SHAPE) & t.try_cast("date").isNotNull(),
     }
 
 
@@ -142,8 +142,11 @@ def profile_frame(frame: DataFrame, typed: bool = False) -> list[ColumnProfile]:
         text = F.col(f"__t{i}")
         slots |= {f"d{i}_{k}": F.count(F.when(c, 1)) for k, c in detectors(text).items()}
         slots |= {f"f{i}_{k}": F.count(F.when(text.rlike(p), 1)) for k, p in _INIT_FORMATS.items()}
-    row = wide.agg(*(e.alias(k) for k, e in slots.items())).first().asDict()
-    distinct = {n: frame.select(text_of(frame, n, typed).alias("v")).dropna().distinct().count() for n in names}
+    count = lambda n: frame.select(text_of(frame, n, typed).alias("v")).dropna().distinct().count()
+    with ThreadPoolExecutor(max_workers=8) as pool:  # submitted together: they share the cluster
+        counts = {n: pool.submit(count, n) for n in names}
+        row = wide.agg(*(e.alias(k) for k, e in slots.items())).first().asDict()
+        distinct = {n: c.result() for n, c in counts.items()}
     out = read_profile(row, names, distinct)
     for i, p in enumerate(out):
         full = row[f"p{i}_full"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from .operators.keys import collect_key_set
 from .operators.profile import profile_frame
 from .operators.samples import repeats_frame
 from .plans.planner import NestedColumnError
+from .sources import ReadOptions, open_source
 
 NOW = "2024-02-01T00:00:00Z"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +90,19 @@ def check_regex(spark, sf_dir):
     return only(a.union(b), "c_name.regex", "url.regex")
 
 
+# texts in which dialects differ: line ends, letters beyond ASCII, POSIX classes
+_TEXTS = "CASE c_custkey % 8 WHEN 0 THEN concat('a', chr(13), 'b') WHEN 1 THEN concat('a', chr(10), 'b') WHEN 2 THEN concat('a', chr(133), 'b') WHEN 3 THEN 'abé' WHEN 4 THEN 'abc' WHEN 5 THEN concat('abc', chr(10)) WHEN 6 THEN concat('a', chr(11), 'b') ELSE 'a-b' END"
+_DIALECT = {"p": "^a.b", "q": "^[[:alpha:]]+$", "r": "^[[:^digit:]]{3}$", "s": "^a[[:space:]]b$", "t": "a[^[:punct:]]b", "u": "^a\\x{0D}b$"}
+
+
+@query(" UNION ALL ".join(counted(f"{k}.regex", "v", f"NOT regexp_matches(v, '{p}')", f"(SELECT {_TEXTS} AS v FROM customer)") for k, p in _DIALECT.items()))
+def check_regex_dialect(spark, sf_dir):
+    text = F.expr(_TEXTS.replace("chr(133)", "decode(unhex('C285'), 'utf-8')"))
+    frame = table(spark, sf_dir, "customer").select(*(text.alias(k) for k in _DIALECT))
+    found = outcomes(spark, frame, "\n".join(f"  {k}: {{ type: string, checks: [{{ regex: '{p}' }}] }}" for k, p in _DIALECT.items()))
+    return only(found, *(f"{k}.regex" for k in _DIALECT))
+
+
 def _format(spark, sf_dir, name: str, expression: str, source: str = "customer") -> DataFrame:
     frame = table(spark, sf_dir, source).select(F.expr(expression).alias("v"))
     return only(outcomes(spark, frame, f"  v: {{ type: string, checks: [{{ format: {name} }}] }}"), f"v.format.{name}")
@@ -283,6 +299,43 @@ def check_custom_expr(spark, sf_dir):
     return only(found, "dataset.custom_expr")
 
 
+def _first_bad(check_id: str, bad: str, value: str, key: str, source: str, n: int = 4) -> str:
+    return f"(SELECT '{check_id}' AS check_id, \"row\", {value} AS \"value\" FROM (SELECT *, row_number() OVER (ORDER BY {key}) AS \"row\" FROM {source}) WHERE {bad} ORDER BY \"row\" LIMIT {n})"
+
+
+_REPEATS = "(SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS occurrence FROM part)"
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _first_bad("o_orderstatus.enum", "o_orderstatus NOT IN ('F', 'O')", "o_orderstatus", "o_orderkey", "orders"),
+            _first_bad("o_orderpriority.regex", "NOT regexp_matches(o_orderpriority, '^[1-3]-')", "o_orderpriority", "o_orderkey", "orders"),
+            _first_bad("o_custkey.max", "o_custkey > 100", "CAST(o_custkey AS VARCHAR)", "o_orderkey", "orders"),
+            _first_bad("p_brand.unique", "occurrence > 1", "p_brand", "p_partkey", _REPEATS),
+        ]
+    )
+)
+def failure_samples(spark, sf_dir):
+    """The first failing rows of each failed check, by their place in the file."""
+    columns = "  o_orderstatus: { type: string, checks: [{ enum: [F, O] }] }\n  o_orderpriority: { type: string, checks: [{ regex: '^[1-3]-' }] }\n  o_custkey: { type: int, checks: [{ max: 100 }] }"
+    rows = []
+    for name, spec in (("orders", columns), ("part", "  p_brand: { type: string, checks: [unique] }")):
+        contract = parse_contract(f"apiVersion: v1\ndataset: t\ncolumns:\n{spec}\n")
+        result = run_check(contract, table(spark, sf_dir, name), now=NOW, sample_failures=4, profile=False)
+        rows += [(c.id, s["row"], s["value"]) for c in result.checks for s in c.samples]
+    return spark.createDataFrame(rows, "check_id string, row long, value string")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, chr(10), '"', c_mktsegment, '",', chr(10), chr(10), 'x') ELSE c_name END AS v, c_mktsegment AS w FROM customer""")
+def read_csv_quoted(spark, sf_dir):
+    """A delimited file with quoted line breaks, separators and quotes, written and read back as text."""
+    where = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tablewarden-')}/csv-{uuid.uuid4().hex}"
+    text = F.expr("CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '\\n\"', c_mktsegment, '\",\\n\\n', 'x') ELSE c_name END")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.alias("v"), F.col("c_mktsegment").alias("w")).write.options(header=True, quote='"', escape='"').csv(where)
+    return open_source(spark, where, ReadOptions(format="csv")).frame
+
+
 @query("SELECT 'dataset.columns' AS check_id, CAST(NULL AS BIGINT) AS rows_evaluated, CAST(NULL AS BIGINT) AS rows_failed, TRUE AS failed UNION ALL SELECT 'gone.present', NULL, NULL, TRUE")
 def check_columns(spark, sf_dir):
     found = outcomes(spark, table(spark, sf_dir, "nation"), "  n_name: { type: string }\n  gone: { type: int }", "settings: { allow_extra_columns: false }")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.samples import ROW, numbered
+from ..operators.samples import after_first
 
 
 def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
@@ -13,10 +13,17 @@ def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
     return [r.value for r in spark.read.text(path).limit(n).collect()]
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value, __row``: every line with its number. A compressed or short file is one split; longer ones
-    are numbered over their splits, which a single file has in order."""
-    return numbered(spark.read.text(path))
+def lines_after(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """``value``: all lines but the first. A compressed or short file is one split; longer ones are counted over
+    their splits, which a single file has in order."""
+    lines = spark.read.text(path)
+    return after_first(lines, n) if n else lines
+
+
+def breaks_lines(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether a quoted cell may hold a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
 
 
 def unique_names(raw: list[str | None]) -> list[str]:
@@ -31,29 +38,37 @@ def unique_names(raw: list[str | None]) -> list[str]:
     return out
 
 
-def delimited(spark: SparkSession, path: str, sep: str, quote: str, header: bool, skip: int, encoding: str | None) -> DataFrame:
+def delimited(spark: SparkSession, path: str, sep: str, quote: str, header: bool, skip: int, encoding: str | None, multi_line: bool | None = None) -> DataFrame:
     """A delimited file as text columns: a bare empty cell is null, a quoted empty cell is empty text.
 
-    With rows to skip, or a header below them, lines are numbered first; quoted line breaks are then not
-    supported. Without, Spark's reader handles them only in ``multiLine`` mode, which one file with quoted
-    line breaks needs and which cannot be split.
+    ``multi_line``: whether quoted cells hold line breaks. Such a file cannot be split, so this is found out by a
+    scan of the lines (a line with an odd number of quotes) unless it is told. Rows to skip stand before the
+    header and end at line breaks.
     """
-    options = {"sep": sep, "quote": quote, "escape": quote, "emptyValue": "", "nullValue": "\u0000", "mode": "PERMISSIVE", "enforceSchema": "true", "maxColumns": "100000"}
+    options = {"sep": sep, "quote": quote, "escape": quote, "emptyValue": "", "nullValue": "\u0000", "mode": "PERMISSIVE", "enforceSchema": "true", "maxColumns": "100000", "maxCharsPerColumn": "-1"}
     if encoding:
         options["encoding"] = encoding
+    if multi_line is None:
+        multi_line = breaks_lines(spark, path, quote)
+    read = spark.read.options(**options)
     parse = lambda line: spark.read.options(**options).csv(spark.sparkContext.parallelize([line]))  # noqa: E731  one line, on the driver
     head = first_lines(spark, path, skip + 1)
     if len(head) <= skip:
         return spark.createDataFrame([], "column_1 string").limit(0)
-    cells = parse(head[skip]).first()
+    if multi_line and not skip:  # the header itself may break its line
+        cells = list(read.option("multiLine", True).csv(path).first())
+    else:
+        cells = parse(head[skip]).first()
     names = unique_names([c if header else None for c in cells])
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    read = spark.read.options(**options)
     if not skip:
-        frame = read.option("header", str(header).lower()).schema(schema).csv(path)
+        frame = read.option("header", str(header).lower()).option("multiLine", multi_line).schema(schema).csv(path)
+    elif multi_line:
+        # blank lines are no records; the lines to skip are records of their own
+        drop = sum(bool(line.strip()) for line in head[:skip]) + int(header)
+        frame = after_first(read.option("multiLine", True).schema(schema).csv(path), drop)
     else:
-        drop = skip + int(header)
-        lines = numbered_lines(spark, path).where(F.col(ROW) > drop).where("value <> ''").select("value")
+        lines = lines_after(spark, path, skip + int(header)).where("value <> ''").select("value")
         parsed = F.from_csv("value", schema, {k: v for k, v in options.items() if k not in ("enforceSchema", "mode")})
         frame = lines.select(parsed.alias("r")).select("r.*")
     return _empty_as_null(frame)

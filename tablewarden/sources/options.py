@@ -32,6 +32,8 @@ class ReadOptions:
     sheet: str | int | None = None
     xml_record: str | None = None
     fixed_width: tuple[Field, ...] | None = None
+    #: Whether quoted cells hold line breaks; found out if not told.
+    multi_line: bool | None = None
 
     @staticmethod
     def layered(settings: InputSettings, **flags) -> ReadOptions:

@@ -6,11 +6,11 @@ A source that is one file can number its rows; samples then carry the row's plac
 from __future__ import annotations
 
 import json
-import re
 import sys
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
-from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.typed import as_text, nested_kind
 from ..operators.samples import ROW
-from .lines import delimited, numbered_lines, unique_names
+from .lines import delimited, lines_after, unique_names
 from .options import ReadOptions, SourceError, applicable, detect, sniff, spans
 from .workbook import read_sheet
 
@@ -84,7 +84,7 @@ def table_source(spark: SparkSession, name: str) -> Source:
 
 
 def _csv(spark: SparkSession, path: str, o: ReadOptions) -> DataFrame:
-    return delimited(spark, path, o.separator(), o.quote, o.has_header, o.skip_rows, None)
+    return delimited(spark, path, o.separator(), o.quote, o.has_header, o.skip_rows, None, o.multi_line)
 
 
 def _parquet(spark: SparkSession, path: str, o: ReadOptions) -> DataFrame:
@@ -137,7 +137,7 @@ def _excel(spark: SparkSession, path: str, o: ReadOptions) -> DataFrame:
 
 def _fixed(spark: SparkSession, path: str, o: ReadOptions) -> DataFrame:
     drop = o.skip_rows + int(o.has_header)
-    lines = numbered_lines(spark, path).where(F.col(ROW) > drop) if drop else spark.read.text(path)
+    lines = lines_after(spark, path, drop)
     value = F.regexp_replace("value", r"\r\z", "")
     cell = lambda start, n: F.nullif(F.regexp_replace(F.substring(value, start, n), r"(?U)^\s+|\s+\z", ""), F.lit(""))
     return lines.where(F.trim(value) != "").select(*(cell(start, n).alias(name) for name, start, n in spans(o.fixed_width)))
@@ -150,39 +150,52 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2].rpartition(":")[2]
 
 
+class _Found(Exception):
+    """The record element's name."""
+
+
+def _chunks(spark: SparkSession, path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes from its beginning, unpacked, as far as the caller asks for them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    stream = fs.open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    stream = codec.createInputStream(stream) if codec else stream
+    try:
+        while chunk := bytes(stream.readNBytes(size)):
+            yield chunk
+    finally:
+        stream.close()
+
+
 def _record_tag(spark: SparkSession, path: str, wanted: str | None) -> str:
-    """The exact name of the record element: Spark matches it by case, the option does not. Only the start
-    of the file is looked at."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(2000).collect())
-    parser = ET.XMLPullParser(["start", "end"])
-    stack: list[str] = []
+    """The exact name of the record element: Spark matches it by case, the option does not. The file is read as far
+    as the first such element, wherever that is, and none of it is held."""
     path_wanted = [p.lower() for p in wanted.strip("/").split("/")] if wanted else None
-    first_child = None
+    stack: list[str] = []
+
+    def start(name: str, _: dict) -> None:
+        stack.append(_local(name).lower())
+        if stack[-len(path_wanted) :] == path_wanted if path_wanted else len(stack) == 2:
+            raise _Found(name)
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, lambda name: stack.pop()
+    chunks = _chunks(spark, path)
     try:
-        for at in range(0, len(head), 4096):
-            parser.feed(head[at : at + 4096])
-            for event, element in parser.read_events():
-                if event == "end":
-                    stack.pop()
-                    continue
-                stack.append(_local(element.tag))
-                if len(stack) == 2 and first_child is None:
-                    first_child = _raw_name(head, stack[-1])
-                    if not path_wanted:
-                        return first_child
-                if path_wanted and [s.lower() for s in stack[-len(path_wanted) :]] == path_wanted:
-                    return _raw_name(head, stack[-1])
-    except ET.ParseError as e:
+        for chunk in chunks:
+            parser.Parse(chunk, False)
+        parser.Parse(b"", True)
+    except _Found as e:
+        return e.args[0]
+    except expat.ExpatError as e:
         raise SourceError(f"`{path}` is not well-formed XML: {e}") from None
+    finally:
+        chunks.close()
     raise SourceError(f"no element `{wanted}` in `{path}`" if wanted else f"`{path}` has no records")
 
 
-def _raw_name(head: str, local: str) -> str:
-    """The name as written, with its prefix if it has one."""
-    found = re.search(rf"<([\w.-]+:)?{re.escape(local)}[\s/>]", head)
-    return (found[1] or "") + local if found else local
-
-
 def _flat(c: Column, kind: T.DataType, name: str) -> list[tuple[str, Column]]:
     """Columns of one XML value: attributes and children by dotted names, the first of repeats."""
     if isinstance(kind, T.ArrayType):

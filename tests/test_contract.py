@@ -195,12 +195,15 @@ def test_exports_cover_every_check():
     assert set(schema["properties"]) >= {"apiVersion", "columns", "settings"} and json.dumps(schema)
 
 
-@pytest.mark.parametrize(("pattern", "java"), [("^a$", r"(?U)^a\z"), (r"a\$", r"(?U)a\$"), ("[$]", "(?U)[$]"), ("[[:alpha:]]", r"(?U)[\p{Alpha}]"), ("(?P<x>a)", "(?U)(?<x>a)")])
+@pytest.mark.parametrize(("pattern", "java"), [
+        ("^a$", r"^a\z"), (r"a\$", r"a\$"), ("[$]", "[$]"), ("[[:alpha:]]", "[A-Za-z]"), ("[^[:^digit:]x]", "[^[^0-9]x]"), ("(?P<x>a)", "(?<x>a)"), ("(?<x>a)", "(?<x>a)"), (r"\v", r"\x0B"),
+        (r"\x{1F600}\u00e9\U0001F600\x41", r"\x{1F600}\x{00e9}\x{0001F600}\x{41}"), ("a+?b*?c{2,}?", "a+?b*?c{2,}?"), ("(?i)a(?s:.)", "(?i)a(?s:.)"), ("a{,2}", "a{,2}"), ("[a-z&&[^x]]", "[a-z&&[^x]]"),
+    ])
 def test_patterns(pattern, java):
-    assert java_pattern(pattern) == java
+    assert java_pattern(pattern) == "(?Ud)" + java
 
 
-@pytest.mark.parametrize("pattern", [r"(a)\1", "(?<!a)b", "(", "[a", "a)"])
+@pytest.mark.parametrize("pattern", [r"(a)\1", "(?<!a)b", "(", "[a", "a)", "a++", "a*+", "a{2}+", "a?+", r"\Qa\E", r"\R", r"\X", r"\h", r"\G", r"\Z", r"\k<x>", r"\cA", r"\N", "[a-z--x]", "(?U)a", "(?d)a", r"\x{}", r"\xg1", r"\u12", r"\b{start}a"])
 def test_refused_patterns(pattern):
     with pytest.raises(RegexError):
         java_pattern(pattern)

@@ -113,6 +113,16 @@ def test_native_types(spark):
     assert r["c.not_empty_string"].outcome.rows_failed == 1 and r["e.present"].status == "failed"
 
 
+def test_sample_rows_over_many_partitions(spark, tmp_path):
+    """Row numbers follow the file, whatever the partitions: only failing rows are numbered."""
+    spark.createDataFrame([(i, "bad" if i in (3, 700, 701, 999) else "ok", i // 2 if i > 990 else i) for i in range(1000)], "k int, v string, u int").coalesce(1).sortWithinPartitions("k").write.parquet(f"{tmp_path}/t")
+    frame = spark.read.parquet(f"{tmp_path}/t").repartitionByRange(7, "k").sortWithinPartitions("k")
+    contract = parse_contract("apiVersion: v1\ndataset: t\ncolumns:\n  k: { type: int }\n  v: { type: string, checks: [{ enum: [ok] }] }\n  u: { type: int, checks: [unique] }\n")
+    got = {c.id: c.samples for c in run_check(contract, frame, sample_failures=3).checks if c.samples}
+    assert got["v.enum"] == [{"row": 4, "value": "bad"}, {"row": 701, "value": "bad"}, {"row": 702, "value": "bad"}]
+    assert [s["row"] for s in got["u.unique"]] == [992, 993, 994]
+
+
 def test_nested_and_empty(spark):
     c = parse_contract("apiVersion: v1\ndataset: d\ncolumns: { a: { type: string, required: true, checks: [unique, { unique_ratio_min: 0.9 }, { null_ratio_max: 0 }] } }\nprimary_key: [a]\ndataset_checks: [{ row_count_min: 1 }, { assert: 'COUNT(*) = 0' }]")
     with pytest.raises(NestedColumnError):

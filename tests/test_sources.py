@@ -39,6 +39,45 @@ def test_csv(spark, tmp_path):
         rows(spark, tmp_path / "e.csv")
 
 
+def test_csv_with_quoted_line_breaks(spark, tmp_path):
+    want = [("1", "a\nb"), ("2", 'say "x",\n\ny'), ("3", "é")]
+    body = '1,"a\nb"\n2,"say ""x"",\n\ny"\n3,é\n'
+    (tmp_path / "a.csv").write_text("k,v\n" + body)
+    assert rows(spark, tmp_path / "a.csv") == want
+    (tmp_path / "b.csv").write_text('k,"a\nname"\n' + body)
+    assert rows(spark, tmp_path / "b.csv") == want
+    assert open_source(spark, str(tmp_path / "b.csv")).frame.columns == ["k", "a\nname"]
+    (tmp_path / "c.csv").write_text("title\n\nk,v\n" + body)
+    assert rows(spark, tmp_path / "c.csv", skip_rows=2) == want
+    assert rows(spark, tmp_path / "a.csv", has_header=False)[1:] == want
+    # told otherwise, lines are records
+    assert len(rows(spark, tmp_path / "a.csv", multi_line=False)) > 3
+    (tmp_path / "d.csv").write_text("k,v\n1,x\n")
+    assert rows(spark, tmp_path / "d.csv", multi_line=True) == [("1", "x")]
+
+
+def test_lines_are_dropped_across_splits(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("".join(f"note {i}\n" for i in range(500)) + "k,v\n" + "".join(f"{i},x\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert rows(spark, p, skip_rows=500) == [(str(i), "x") for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_xml_records_far_into_the_file(spark, tmp_path):
+    note = "<note>text</note>\n" * 200_000
+    (tmp_path / "a.xml").write_text(f"<all>{note}<Row><a>1</a></Row><Row><a>2</a></Row></all>")
+    assert rows(spark, tmp_path / "a.xml", xml_record="row") == [("1",), ("2",)]
+    one_line = f"<all>{note}<deep><row><a>1</a></row></deep></all>".replace("\n", "")
+    (tmp_path / "b.xml.gz").write_bytes(gzip.compress(one_line.encode()))
+    assert rows(spark, tmp_path / "b.xml.gz", xml_record="deep/row") == [("1",)]
+    with pytest.raises(SourceError, match="no element"):
+        rows(spark, tmp_path / "a.xml", xml_record="nothing")
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text('{"a": 1, "b": true}\n\n{"a": 2.5}\n')
     assert rows(spark, tmp_path / "a.ndjson") == [("1", "true"), ("2.5", None)]
