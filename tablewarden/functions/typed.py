@@ -30,22 +30,28 @@ def shaped(c: Column, shape: str) -> Column:
     return c.rlike(rf"^{_SPACE}(?:{shape.removeprefix('^').removesuffix(chr(92) + 'z')}){_SPACE}\z")
 
 
+def cast_shaped(c: Column, shape: str, kind: str) -> Column:
+    """The cast of a cell that has a shape. Trimming is slow, so a cell without white space around it is cast as it
+    stands."""
+    return F.when(c.rlike(shape), c.try_cast(kind)).when(shaped(c, shape), trimmed(c).try_cast(kind))
+
+
 def parse_text(c: Column, kind: str) -> Column:
     """The typed value of a text cell, or null if it does not parse."""
     if kind == "string":
         return c
     t = trimmed(c)
     if kind == "int":
-        return F.when(shaped(c, r"^[+-]?[0-9]+\z"), t.try_cast("bigint"))
+        return cast_shaped(c, r"^[+-]?[0-9]+\z", "bigint")
     if kind == "float":
-        value = t.try_cast("double")
-        return F.when(shaped(c, FLOAT_SHAPE) & (F.abs(value) < float("inf")), value)
+        # what overflows to infinity does not parse
+        return F.nullif(F.nullif(cast_shaped(c, FLOAT_SHAPE, "double"), F.lit(float("inf"))), F.lit(float("-inf")))
     if kind == "bool":
         low = F.lower(t)
         return F.when(low.isin(*TRUE_WORDS), F.lit(True)).when(low.isin(*FALSE_WORDS), F.lit(False))
     if kind == "date":
-        return F.when(shaped(c, DATE_SHAPE), t.try_cast("date"))
-    return F.when(shaped(c, DATETIME_SHAPE), t.try_cast("timestamp"))
+        return cast_shaped(c, DATE_SHAPE, "date")
+    return cast_shaped(c, DATETIME_SHAPE, "timestamp")
 
 
 def sketched(c: Column) -> Column:

@@ -114,12 +114,16 @@ def micros_of(now: dt.datetime | str | None) -> int:
 class Run:
     def __init__(self, contract: Contract, frame: DataFrame, typed: bool, now_micros: int, references: dict[str, KeySet], sample_failures: int, profile: bool, strict_freshness: bool) -> None:
         self.frame, self.contract, self.n = frame, contract, sample_failures
-        self.planner = Planner(contract, frame, typed, now_micros, references, strict_freshness)
+        self.planner = Planner(contract, frame, typed, now_micros, references, strict_freshness, ahead=True)
         self.checks = self.planner.plan()
         self.profile_names = profiled_columns(frame) if profile else []
-        self.wide = prepared(frame, self.profile_names, typed)
+        self.frame = self.parsed(frame)
+        self.wide = prepared(self.frame, self.profile_names, typed)
         self.typed, self.profile, self.values = typed, None, {}
 
+    def parsed(self, frame: DataFrame) -> DataFrame:
+        return frame.withColumns(self.planner.parsed) if self.planner.parsed else frame
+
     # round one
 
     def _slots(self) -> tuple[dict[str, Any], dict[str, Any]]:
@@ -161,7 +165,7 @@ class Run:
     def _assert(self, text: str) -> Outcome:
         """One truth about all rows, over the columns as their declared types."""
         declared = {n: c.typed for n, c in self.planner.cells.items()}
-        others = [name_of(n) for n in self.frame.columns if n not in declared]
+        others = [name_of(n) for n in self.frame.columns if n not in declared and n not in self.planner.parsed]
         typed = self.frame.select(*(c.alias(n) for n, c in declared.items()), *others)
         try:
             asked = typed.agg(F.expr(text).alias("v"))
@@ -275,9 +279,7 @@ def run_check(
         hidden = [samples.ROW] if samples.ROW in frame.columns else []
         run = Run(contract, frame.drop(*hidden) if hidden else frame, typed, micros_of(now), references or {}, sample_failures, profile, fail_on_unknown_freshness)
         if hidden:
-            visible = run.frame
-            run.frame = visible
-            checks = _with_rows(run, frame)
+            checks = _with_rows(run, run.parsed(frame))
         else:
             checks = run.evaluate()
         key_set = None
@@ -287,7 +289,7 @@ def run_check(
     if redact:
         for c in checks:
             c.samples = [{"row": s["row"], "value": REDACTED} for s in c.samples]
-    fields = run.frame.schema.fields
+    fields = [f for f in run.frame.schema.fields if f.name not in run.planner.parsed]
     text = contract_text if contract_text is not None else dump_contract(contract)
     head = {"dataset": contract.dataset, "path": contract_path, "content_sha256": hashlib.sha256(text.encode()).hexdigest(), "owner": contract.owner, "consumers": [{k: v for k, v in (("name", c.name), ("contact", c.contact)) if v} for c in contract.consumers]}
     rows = run.values[run.planner.slots.rows()]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contract.model import number, render
-from ..functions.typed import DATE_SHAPE, DATETIME_SHAPE, FLOAT_SHAPE, as_text, nested_kind, shaped, sketched, trimmed
+from ..functions.typed import DATE_SHAPE, DATETIME_SHAPE, FLOAT_SHAPE, as_text, cast_shaped, nested_kind, shaped, sketched, trimmed
 from ..plans.planner import NestedColumnError, name_of
 
 MOST_VALUES, LONGEST_VALUE = 25, 64
@@ -57,10 +57,10 @@ def _number_of(frame: DataFrame, name: str, text: Column) -> Column:
     if isinstance(given, T.NumericType):
         value = name_of(name).cast("double")
     elif isinstance(given, T.StringType):
-        value = F.when(shaped(text, FLOAT_SHAPE), trimmed(text).try_cast("double"))
+        value = cast_shaped(text, FLOAT_SHAPE, "double")
     else:
-        return F.lit(None).cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+        value = F.lit(None).cast("double")
+    return value
 
 
 def profiled_columns(frame: DataFrame, strict: bool = False) -> list[str]:
@@ -79,7 +79,8 @@ def prepared(frame: DataFrame, names: list[str], typed: bool) -> DataFrame:
     aggregates, and parsing a cell once is what a profile costs."""
     texts = {f"__t{i}": text_of(frame, n, typed) for i, n in enumerate(names)}
     numbers = {f"__v{i}": _number_of(frame, n, texts[f"__t{i}"]) for i, n in enumerate(names)}
-    return frame.withColumns(texts | numbers)
+    finite = {v: F.when(F.abs(v) < float("inf"), F.col(v)) for v in numbers}
+    return frame.withColumns(texts | numbers).withColumns(finite)
 
 
 def profile_slots(names: list[str], exact: bool = False) -> dict[str, Column]:

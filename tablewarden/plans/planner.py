@@ -111,7 +111,10 @@ def humanised(seconds: float) -> str:
 
 
 class Planner:
-    def __init__(self, contract: Contract, frame: DataFrame, typed: bool, now_micros: int, references: dict[str, Any] | None = None, fail_on_unknown_freshness: bool = False) -> None:
+    def __init__(self, contract: Contract, frame: DataFrame, typed: bool, now_micros: int, references: dict[str, Any] | None = None, fail_on_unknown_freshness: bool = False, ahead: bool = False) -> None:
+        """``ahead``: the caller adds ``parsed`` to the frame, so that a cell which many checks use is parsed once."""
+        self.parsed: dict[str, Expr] = {}
+        self.ahead = ahead
         self.contract, self.frame, self.typed, self.now = contract, frame, typed, now_micros
         self.references, self.strict_freshness = references or {}, fail_on_unknown_freshness
         self.slots, self.checks = Slots(), []
@@ -125,7 +128,11 @@ class Planner:
         kind, given, c = self.contract.columns[name].type, self.types[name], name_of(name)
         if not self.typed:
             text = as_text(c, given)
-            return Cells(text, parse_text(text, kind), False, "string")
+            value = parse_text(text, kind)
+            if self.ahead and kind != "string":
+                place = f"__parsed{len(self.parsed)}"
+                self.parsed[place], value = value, F.col(place)
+            return Cells(text, value, False, "string")
         fits = accepts(kind, given)
         return Cells(as_text(c, given), native(c, kind, given) if fits else F.lit(None), not fits, given.simpleString())
 
