@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pretokens import encoder
-from .shared import filesystem, fresh_path, stored
+from .shared import filesystem, fresh_path, looked_up, stored
 
 _ROWS = 256
 
@@ -133,7 +133,9 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
     """Read the files back: ``doc_id, start, n_tokens, ids_crc32`` of every document in the index."""
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
-    offsets = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
+    # written first: it is small and goes to the index
+    offsets = stored(totals.select("shard", F.coalesce(before, F.lit(0)).alias("before")), "token-offsets")
+    files = max(offsets.count(), 1)
 
     def read(key: tuple, table: pa.Table) -> pa.Table:
         reader = ShardReader(folder, key[0].as_py())
@@ -141,11 +143,17 @@ def read_token_files(index: DataFrame, folder: str) -> DataFrame:
         reader.close()
         return pa.table({"doc_id": table["doc_id"], "start": pa.compute.add(table["before"], table["place"]), "n_tokens": table["n_tokens"], "ids_crc32": pa.array(crc, pa.int64())})
 
-    return index.join(offsets, "shard").groupBy("shard").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # as many tasks as files: what tells how much a task reads is the file, not the index rows that ask for it
+    return looked_up(index, offsets, ["shard"]).repartition(files, "shard").groupBy("shard").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(documents: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, folder: str | None = None) -> DataFrame:
-    """Write the files (into the shared folder unless ``folder`` names another) and read them back."""
+    """Write the files (into the shared folder unless ``folder`` names another) and read them back: ``doc_id,
+    start, n_tokens, ids_crc32`` of every row.
+
+    A null or empty text is its end id alone; repeated rows and a null ``doc_id`` each have their place (see
+    ``write_token_files``); an empty table gives an empty result and no file; other columns are ignored.
+    """
     spark: SparkSession = documents.sparkSession
     folder = folder or fresh_path(spark, "token-files")
     index = stored(write_token_files(documents, folder, tokenizer, end_id, length), "token-index")
