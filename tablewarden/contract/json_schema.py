@@ -61,7 +61,7 @@ def json_schema() -> dict[str, Any]:
     )
     fixed = _object({"name": _TEXT, "start": {"type": "integer", "minimum": 1}, "end": {"type": "integer", "minimum": 1}, "width": {"type": "integer", "minimum": 1}}, ("name",))
     read = _object({"format": {"enum": list(m.INPUT_FORMATS)}, "delimiter": _TEXT, "has_header": _BOOL, "skip_rows": _COUNT, "json_path": _TEXT, "sheet": {"type": ["string", "integer"]}, "xml_record": _TEXT, "fixed_width": {"type": "array", "items": fixed}})
-    consumer = _object({"name": _TEXT, "contact": _TEXT, "reads": _NAMES, "tier": {"type": "integer", "minimum": 1, "maximum": 3}}, ("name",))
+    consumer = _object({"name": _TEXT, "contact": _TEXT, "reads": _NAMES, "tier": {"type": "integer", "minimum": 1, "maximum": 3}, "kind": {"enum": list(m.CONSUMER_KINDS)}}, ("name",))
     root = _object(
         {
             "apiVersion": {"const": "v1"}, "dataset": _TEXT, "owner": _TEXT, "description": _TEXT, "version": _TEXT, "consumers": {"type": "array", "items": consumer},

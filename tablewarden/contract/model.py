@@ -62,12 +62,22 @@ class Column:
     checks: tuple[Check, ...] = ()
 
 
+#: What a consumer can be: fixed values.
+CONSUMER_KINDS = ("dashboard", "model", "api", "pipeline", "ai_agent", "report")
+
+
 @dataclass(frozen=True)
 class Consumer:
     name: str
     contact: str | None = None
     reads: tuple[str, ...] | None = None
     tier: int | None = None
+    kind: str | None = None
+
+    @property
+    def reads_whole_dataset(self) -> bool:
+        """Whoever named no columns may break on any of them."""
+        return not self.reads
 
 
 @dataclass(frozen=True)
@@ -122,7 +132,7 @@ class Contract:
 
     def consumers_of(self, column: str) -> list[Consumer]:
         """Who a change of this column reaches: those that read it, and those that never said what they read."""
-        return [c for c in self.consumers if c.reads is None or column in c.reads]
+        return [c for c in self.consumers if c.reads_whole_dataset or column in c.reads]
 
 
 def render(value: Any) -> str:

@@ -213,9 +213,9 @@ def _column(name: str, raw: Any, line: int) -> Column:
 def _consumer(raw: Any, line: int) -> Consumer:
     if isinstance(raw, str):
         return Consumer(raw)
-    _keys(raw, ("name", "contact", "reads", "tier"), "a consumer", line)
+    _keys(raw, ("name", "contact", "reads", "tier", "kind"), "a consumer", line)
     reads = tuple(raw["reads"]) if isinstance(raw.get("reads"), list) else None
-    return Consumer(_text(raw, "name", "a consumer", True), _text(raw, "contact", "a consumer"), reads, raw.get("tier"))
+    return Consumer(_text(raw, "name", "a consumer", True), _text(raw, "contact", "a consumer"), reads, raw.get("tier"), _one_of(raw, "kind", m.CONSUMER_KINDS, None))
 
 
 def _input(raw: Any, line: int) -> InputSettings:

@@ -145,10 +145,10 @@ def check_format_iso_datetime(spark, sf_dir):
     return _format(spark, sf_dir, "iso_datetime", _STAMP)
 
 
-_URL = "CASE WHEN page_id % 9 = 0 THEN 'not a url' WHEN page_id % 9 = 1 THEN substr(url, 5, 100) WHEN page_id % 9 = 2 THEN 'http:// x' ELSE url END"
+_URL = "CASE WHEN page_id % 9 = 0 THEN 'not a url' WHEN page_id % 9 = 1 THEN substr(url, 5, 100) WHEN page_id % 9 = 2 THEN 'http:// x' WHEN page_id % 9 = 3 THEN 'http://a b/' WHEN page_id % 9 = 4 THEN concat('http://host:', 65530 + page_id % 11, '/x') WHEN page_id % 9 = 5 THEN 'http://u:7@host:8080?q' ELSE url END"
 
 
-@query(_format_sql("url", _URL, "NOT regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\s]+')", "pages"))
+@query(_format_sql("url", _URL, "NOT (regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\s@]*@)?[A-Za-z0-9.-]+(:[0-9]*)?([/?#]|$)') AND COALESCE(TRY_CAST(NULLIF(regexp_extract(v, ':([0-9]+)(?:[/?#]|$)', 1), '') AS INTEGER) <= 65535, TRUE))", "pages"))
 def check_format_url(spark, sf_dir):
     return _format(spark, sf_dir, "url", _URL, "pages")
 

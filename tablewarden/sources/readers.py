@@ -83,6 +83,20 @@ def table_source(spark: SparkSession, name: str) -> Source:
     return Source(spark.table(name), True, name, "table")
 
 
+def jdbc_source(spark: SparkSession, url: str, table: str, split_by: str | None = None, parts: int = 64, **options: str) -> Source:
+    """A table (or a query in brackets with a name) of a database, with its own types.
+
+    ``split_by``: a numeric or date column by whose range the rows are read in ``parts`` connections; the range is
+    asked from the database first. Without it one task reads all rows. Filters and columns go to the database.
+    """
+    read = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if split_by:
+        low, high = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().agg(F.min(F.col(split_by)), F.max(F.col(split_by))).first()
+        if low is not None:
+            read = read.options(partitionColumn=split_by, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    return Source(read.load(), True, table, "table")
+
+
 def _csv(spark: SparkSession, path: str, o: ReadOptions) -> DataFrame:
     return delimited(spark, path, o.separator(), o.quote, o.has_header, o.skip_rows, None, o.multi_line)
 

@@ -207,3 +207,11 @@ def test_patterns(pattern, java):
 def test_refused_patterns(pattern):
     with pytest.raises(RegexError):
         java_pattern(pattern)
+
+
+def test_consumers():
+    c = contract("{ a: { type: string }, b: { type: string } }", "consumers: [{ name: all, reads: [] }, { name: some, reads: [b], kind: ai_agent, tier: 1 }, plain]")
+    assert [x.name for x in c.consumers_of("a")] == ["all", "plain"] and [x.name for x in c.consumers_of("b")] == ["all", "some", "plain"]
+    assert c.consumers[0].reads_whole_dataset and not c.consumers[1].reads_whole_dataset and c.consumers[1].kind == "ai_agent"
+    with pytest.raises(Exception, match="kind"):
+        contract("{ a: { type: string } }", "consumers: [{ name: x, kind: nobody }]")

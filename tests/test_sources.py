@@ -9,7 +9,7 @@ import pytest
 
 from tablewarden.cli import main
 from tablewarden.contract.model import Field
-from tablewarden.sources import ReadOptions, SourceError, open_source
+from tablewarden.sources import ReadOptions, SourceError, jdbc_source, open_source
 from tablewarden.sources.options import detect
 
 
@@ -78,6 +78,15 @@ def test_xml_records_far_into_the_file(spark, tmp_path):
         rows(spark, tmp_path / "a.xml", xml_record="nothing")
 
 
+def test_database_tables(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("cast(id as int) as k", "concat('v', id) as v").write.format("jdbc").options(url=url, dbtable="t", driver=driver).save()
+    source = jdbc_source(spark, url, "t", split_by="k", parts=4, driver=driver)
+    assert source.typed and source.frame.rdd.getNumPartitions() == 4 and source.frame.count() == 100
+    assert jdbc_source(spark, url, '(select "k" from t where "k" < 5) x', driver=driver).frame.count() == 5
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text('{"a": 1, "b": true}\n\n{"a": 2.5}\n')
     assert rows(spark, tmp_path / "a.ndjson") == [("1", "true"), ("2.5", None)]
