@@ -9,8 +9,8 @@ prior reliabilities, estimates how far every labeler can be trusted. A span clas
 over votes, length and surroundings, drawn to the labelers' log-odds) is then trained on the candidates that
 the estimate is sure of, and compiled back into an expression.
 
-Base spans that pass their checks are always kept. Every other candidate, of any kind, is the classifier's to
-accept or reject.
+Base spans that pass their checks are always kept, and are known positives to the estimate. Every other
+candidate, of any kind, is the classifier's to accept or reject.
 """
 
 from __future__ import annotations
@@ -265,9 +265,10 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(min(x, 30.0), -30.0)))
 
 
-def _expect(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict, dict, dict]:
+def _expect(patterns: list[tuple[int, tuple[int, ...], int]], known: list[tuple[int, tuple[int, ...], int]] = (), rounds: int = 30) -> tuple[dict, dict, dict]:
     """EM for labelers that vote 1, -1 or not at all, independent given the truth; by kind. Reliabilities start
-    from the prior ones, which keep weighing as some rows do."""
+    from the prior ones, which keep weighing as some rows do. ``known`` are the patterns of spans that count as
+    personal whatever the labelers say."""
     chance = {(k, j, v): (_PRIOR_YES[n][v + 1] or 1e-6, _PRIOR_NO[n][v + 1] or 1e-6) for k in range(len(KINDS)) for j, n in enumerate(LABELERS) for v in (-1, 0, 1)}
     prior = {k: _PRIOR_SHARE for k in range(len(KINDS))}
     post: dict[tuple[int, tuple[int, ...]], float] = {}
@@ -275,25 +276,26 @@ def _expect(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 30)
         for k, v, _ in patterns:
             odds = math.log(prior[k] / (1 - prior[k])) + sum(math.log(chance[k, j, x][0] / chance[k, j, x][1]) for j, x in _spoken(v))
             post[k, v] = _sigmoid(odds)
-        for kind in {k for k, _, _ in patterns}:
-            own = [(v, n) for k, v, n in patterns if k == kind]
-            yes, total = sum(n * post[kind, v] for v, n in own), sum(n for _, n in own)
+        for kind in {k for k, _, _ in (*patterns, *known)}:
+            own = [(v, n, post[kind, v]) for k, v, n in patterns if k == kind] + [(v, n, 1.0) for k, v, n in known if k == kind]
+            yes, total = sum(n * p for _, n, p in own), sum(n for _, n, _ in own)
             prior[kind] = (yes + _PRIOR_ROWS * _PRIOR_SHARE) / (total + _PRIOR_ROWS)
             for j, name in enumerate(LABELERS):
                 for vote in (-1, 0, 1):
-                    a = sum(n * post[kind, v] for v, n in own if v[j] == vote)
-                    b = sum(n * (1 - post[kind, v]) for v, n in own if v[j] == vote)
+                    a = sum(n * p for v, n, p in own if v[j] == vote)
+                    b = sum(n * (1 - p) for v, n, p in own if v[j] == vote)
                     chance[kind, j, vote] = ((a + _PRIOR_ROWS * _PRIOR_YES[name][vote + 1] + 1e-6) / (yes + _PRIOR_ROWS), (b + _PRIOR_ROWS * _PRIOR_NO[name][vote + 1] + 1e-6) / (total - yes + _PRIOR_ROWS))
     return chance, prior, post
 
 
-def _train(rows: list[tuple[int, tuple[int, ...], tuple[str, ...], int]], chance: dict, prior: dict, post: dict, rounds: int = 60) -> dict[tuple[int, str, str], float]:
+def _train(rows: list[tuple[int, bool, tuple[int, ...], tuple[str, ...], int]], chance: dict, prior: dict, post: dict, rounds: int = 60) -> dict[tuple[int, str, str], float]:
     """Logistic regression on the candidates that the labelers are sure of. Its weights are drawn to the
     labelers' log-odds (and to 0 for what labelers do not see), so that values never met keep theirs. A kind
     without sure candidates of both sorts has nothing to learn a difference from and goes by the labelers."""
     centre = {(k, f"v{j}", str(v)): math.log(a / b) for (k, j, v), (a, b) in chance.items() if v or LABELERS[j] != "check"}
     centre |= {(k, "prior", ""): math.log(p / (1 - p)) for k, p in prior.items()}
-    sure = [(k, [(k, *x) for x in _parts(v, looks)], float(n), float(post[k, v] > 0.5)) for k, v, looks, n in rows if abs(post[k, v] - 0.5) >= SURE - 0.5]
+    of = lambda k, base, v: 1.0 if base else post[k, v]
+    sure = [(k, [(k, *x) for x in _parts(v, looks)], float(n), float(of(k, base, v) > 0.5)) for k, base, v, looks, n in rows if abs(of(k, base, v) - 0.5) >= SURE - 0.5]
     both = {k for k, _, _, y in sure if y} & {k for k, _, _, y in sure if not y}
     sure = [x for x in sure if x[0] in both]
     weights = dict(centre)
@@ -318,12 +320,13 @@ def fit(documents: DataFrame) -> Model:
     however large the corpus.
     """
     found = documents.select(F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("s"))
-    counted = found.groupBy("s.kind", "s.votes", "s.looks").agg(F.count("*").alias("n"))
-    rows = sorted((r["kind"], tuple(r["votes"]), tuple(r["looks"]), r["n"]) for r in counted.collect())
-    sums: dict[tuple[int, tuple[int, ...]], int] = {}
-    for k, v, _, n in rows:
-        sums[k, v] = sums.get((k, v), 0) + n
-    chance, prior, post = _expect([(k, v, n) for (k, v), n in sums.items()])
+    counted = found.groupBy("s.kind", "s.base", "s.votes", "s.looks").agg(F.count("*").alias("n"))
+    rows = sorted((r["kind"], r["base"], tuple(r["votes"]), tuple(r["looks"]), r["n"]) for r in counted.collect())
+    sums: dict[tuple[bool, int, tuple[int, ...]], int] = {}
+    for k, base, v, _, n in rows:
+        sums[base, k, v] = sums.get((base, k, v), 0) + n
+    of = lambda wanted: [(k, v, n) for (base, k, v), n in sums.items() if base == wanted]
+    chance, prior, post = _expect(of(False), of(True))
     return Model(chance, prior, _train(rows, chance, prior, post))
 
 

@@ -85,12 +85,12 @@ def test_stems_are_learnt_and_copies_teach_nothing(spark):
             w.insert(r.randrange(30), "blorg" + r.choice(("", "an", "est", "ö")))
         rows.append((i, " ".join(w), int(bad)))
     rows += [(1000 + i, " ".join(family), 1) for i in range(30)]
-    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(5000, None), (5001, ""), (5002, "blorgish"), (5003, "zzzunique"), (None, "x")], "doc_id long, text string")
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(5000, None), (5001, ""), (5002, "what blorgish words"), (5004, "blorgish"), (5003, "zzzunique"), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
     got = {x.doc_id: x for x in toxicity.toxicity(docs, labels).collect()}
-    assert len(got) == len(rows) + 5
+    assert len(got) == len(rows) + 6
     assert all(got[d].predicted == y for d, _, y in rows if d < 1000)
-    assert got[5002].predicted == 1 and got[5003].predicted == 0
+    assert got[5002].predicted == 1 and got[5003].predicted == 0 and got[5004].score < got[5002].score
     assert got[5000].score == got[5001].score < 0.3
     assert all(x.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, x in got.items() if d is not None)
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
@@ -305,6 +305,18 @@ def test_a_phone_that_runs_on_is_judged_by_its_head(spark):
     assert {x.spans for x in pii.find(docs).collect()} == {"phone:5:22,ip:23:38"}
 
 
+def test_base_spans_teach_and_checks_object(spark):
+    """Without a word of context: a phone like the base ones is found in a match that ran on, a card whose digits do
+    not check is left."""
+    r = random.Random(6)
+    number = lambda ok: next(x for x in (str(r.randrange(4 * 10**15, 5 * 10**15)) for _ in range(999)) if luhn(x) == ok)
+    phone = lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+    texts = [f"word {phone()} word" for _ in range(60)] + [f"word {phone()} 190.137.223.204 word" for _ in range(5)] + [f"word {number(i % 2 == 0)} word" for i in range(60)]
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i].n_phone == 1 for i in range(60)) and all(got[i].n_phone == 0 and got[i].spans.startswith("phone:5:22") for i in range(60, 65))
+    assert all(bool(got[i].spans) == (i % 2 == 1) for i in range(65, 125))
+
+
 def test_places_of_many_matches(spark):
     """Across the borders of blocks."""
     n = 128 * 20 + 130
