@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from .operators.keys import collect_key_set
 from .operators.profile import profile_frame
 from .operators.samples import repeats_frame
 from .plans.planner import NestedColumnError
+from .session import scratch_folder
 from .sources import ReadOptions, open_source
 
 NOW = "2024-02-01T00:00:00Z"
@@ -330,7 +330,7 @@ def failure_samples(spark, sf_dir):
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, chr(10), '"', c_mktsegment, '",', chr(10), chr(10), 'x') ELSE c_name END AS v, c_mktsegment AS w FROM customer""")
 def read_csv_quoted(spark, sf_dir):
     """A delimited file with quoted line breaks, separators and quotes, written and read back as text."""
-    where = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tablewarden-')}/csv-{uuid.uuid4().hex}"
+    where = f"{scratch_folder(spark)}/csv-{uuid.uuid4().hex}"
     text = F.expr("CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '\\n\"', c_mktsegment, '\",\\n\\n', 'x') ELSE c_name END")
     table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.alias("v"), F.col("c_mktsegment").alias("w")).write.options(header=True, quote='"', escape='"').csv(where)
     return open_source(spark, where, ReadOptions(format="csv")).frame

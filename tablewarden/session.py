@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one serves a session on one machine only."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tablewarden-")
+
+
 @contextmanager
 def pinned(spark: SparkSession):
     """UTC, and column names by exact case, while contracts are evaluated."""

@@ -66,6 +66,8 @@ def open_source(spark: SparkSession, path: str, options: ReadOptions | None = No
     """Open a file (or ``-``) by its format; an empty file is an error, not an empty table."""
     options, shown = options or ReadOptions(), path
     if path == "-":
+        if not spark.sparkContext.master.startswith("local"):
+            raise SourceError("standard input is read by sessions on one machine only")
         path, _ = spooled(options.format)
     kind, compression = detect(path, options.format)
     options = applicable(kind, options)
