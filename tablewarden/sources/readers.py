@@ -235,7 +235,7 @@ def _flat(c: Column, kind: T.DataType, name: str) -> list[tuple[str, Column]]:
 
 
 def _xml(spark: SparkSession, path: str, o: ReadOptions) -> DataFrame:
-    tag = _record_tag(spark, path, o.xml_record)
+    tag = _local(_record_tag(spark, path, o.xml_record))  # namespaces are ignored, in the record's name too
     frame = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).option("ignoreNamespace", True).option("attributePrefix", "_").option("valueTag", "_VALUE").load(path)
     columns: dict[str, Column] = {}
     for f in frame.schema.fields:

@@ -71,6 +71,8 @@ def test_xml_records_far_into_the_file(spark, tmp_path):
     note = "<note>text</note>\n" * 200_000
     (tmp_path / "a.xml").write_text(f"<all>{note}<Row><a>1</a></Row><Row><a>2</a></Row></all>")
     assert rows(spark, tmp_path / "a.xml", xml_record="row") == [("1",), ("2",)]
+    (tmp_path / "c.xml").write_text("<all xmlns:x='u'><x:Row><x:a>1</x:a></x:Row><x:Row><x:a>2</x:a></x:Row></all>")
+    assert rows(spark, tmp_path / "c.xml", xml_record="row") == rows(spark, tmp_path / "c.xml") == [("1",), ("2",)]
     one_line = f"<all>{note}<deep><row><a>1</a></row></deep></all>".replace("\n", "")
     (tmp_path / "b.xml.gz").write_bytes(gzip.compress(one_line.encode()))
     assert rows(spark, tmp_path / "b.xml.gz", xml_record="deep/row") == [("1",)]
