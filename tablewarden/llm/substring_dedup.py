@@ -11,11 +11,12 @@ occurrence stays; the others are merged into spans to remove.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -99,12 +100,12 @@ def _paragraph_sets(words: Words, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     everything = shingles(words.hashes, SHINGLE)
     size = b - a - SHINGLE + 1
     at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    owner = np.repeat(np.arange(len(a)), size)
-    values = everything[at]
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    keep = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])) if len(values) else np.empty(0, bool)
-    return values[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(a)))])
+    values, cuts = everything[at], np.concatenate([[0], np.cumsum(size)])
+    for i, j in pairwise(cuts.tolist()):
+        values[i:j].sort()
+    keep = np.append(True, values[1:] != values[:-1])[: len(values)]
+    keep[cuts[:-1]] = True
+    return values[keep], np.concatenate([[0], np.cumsum(keep)])[cuts]
 
 
 def _code_points(raw: np.ndarray) -> np.ndarray:
@@ -170,7 +171,7 @@ def _line_sets(least: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pc.fill_null(batch.column(0), "")
-            wanted = batch.column(1).to_pylist()
+            wanted = [dict(zip(x.values.field("node").to_pylist(), x.values.field("component").to_pylist(), strict=True)) for x in batch.column(1)]
             for first, _, raw, ends in text_chunks(text):
                 words = words_of(raw, ends, BLANK_SEPARATED)
                 owner, a, b = lines_of(words, raw, least)
@@ -179,10 +180,10 @@ def _line_sets(least: int):
                 values, bounds = _paragraph_sets(words, a, b)
                 s1 = set_ids(values, bounds)[0].view(np.int64).tolist()
                 rows = []
-                for i, x in enumerate(s1):
-                    for w in wanted[first + owner[i]]:
-                        if w["node"] == x:
-                            rows.append((w["component"], x, int(bounds[i + 1] - bounds[i]), values[bounds[i] : bounds[i + 1]].tobytes()))
+                for i, (x, row) in enumerate(zip(s1, owner.tolist(), strict=True)):
+                    component = wanted[first + row].get(x)
+                    if component is not None:
+                        rows.append((component, x, int(bounds[i + 1] - bounds[i]), values[bounds[i] : bounds[i + 1]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["component", "node", "n", "values"])
 
     return scan
@@ -212,6 +213,44 @@ def _windows(least: int):
     return scan
 
 
+_SPANS = "doc_id long, start long, end long, class_id long, keep_doc_id long, links array<struct<class_id:long,keep_doc_id:long>>"
+
+
+def _islands(rows: np.ndarray) -> pa.RecordBatch:
+    """Overlapping spans merged; the columns are document, start, end, class and keeper, sorted by the first three."""
+    doc, start, end, kind, keep = rows
+    new = np.append(True, doc[1:] != doc[:-1])
+    # the furthest end so far in the document: places have 31 bits
+    reach = np.maximum.accumulate((np.cumsum(new) << 32) + end) & 0xFFFFFFFF
+    new[1:] |= start[1:] > reach[:-1]
+    first, island = np.flatnonzero(new), np.cumsum(new)
+    order = np.lexsort((keep, kind, island))
+    of, k, d = island[order], kind[order], keep[order]
+    own = np.append(True, (of[1:] != of[:-1]) | (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
+    links = pa.StructArray.from_arrays([pa.array(k[own]), pa.array(d[own])], names=["class_id", "keep_doc_id"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of[own] - 1, minlength=len(first)))]).astype(np.int32)
+    columns = (doc[first], start[first], np.maximum.reduceat(end, first), np.minimum.reduceat(kind, first), np.minimum.reduceat(keep, first))
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offsets), links)], names=["doc_id", "start", "end", "class_id", "keep_doc_id", "links"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []  # spans of the last document, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([np.asarray(c) for c in batch.columns])
+        last = int(np.searchsorted(rows[0], rows[0, -1]))
+        if held and (last or held[0][0, 0] != rows[0, 0]):
+            whole = np.concatenate([*held, rows[:, :last]], axis=1)
+            yield _islands(whole)
+            held = []
+        elif last:
+            yield _islands(rows[:, :last])
+        held.append(rows[:, last:])
+    if held:
+        yield _islands(np.concatenate(held, axis=1))
+
+
 def _asked(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """The documents that are to be read again, with what is asked of each."""
     return rows.join(F.broadcast(asked) if bytes_of(asked) <= BROADCAST_BYTES else asked, "doc_id")
@@ -262,12 +301,5 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS, perc
     repeated = stored(looked_up_counted(named, stored(keepers, "passage-keepers"), ["class_id"], "members").select("node", "class_id", "keep", "n"), "passage-classes")
     done_with(named)
     spans = looked_up_counted(found, repeated, ["node"], "n").where(place != F.col("keep")).select("doc_id", "start", "end", "class_id", F.col("keep.doc_id").alias("keep_doc_id"))
-    # dealt out by document once, for both what follows
-    spans = spans.repartition("doc_id").distinct()
-    # spans of one document: merge what overlaps
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    links = F.array_sort(F.collect_set(F.struct("class_id", "keep_doc_id")))  # at most a document's units
-    merged = spans.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("class_id").alias("class_id"), F.min("keep_doc_id").alias("keep_doc_id"), links.alias("links"))
-    return merged.select("doc_id", "start", "end", "class_id", "keep_doc_id", "links")
+    # a document's spans meet in order of place, whatever the number of its units
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end").mapInArrow(_merged, _SPANS)

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablewarden.llm import decontamination, near_join, substring_dedup
@@ -237,6 +238,23 @@ def test_merged_spans_keep_all_their_links(spark):
     assert sum(len(y.links) for y in third) == len({(x.class_id, y.start) for y in third for x in y.links})
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_spans_are_merged_across_batches(size):
+    r = random.Random(size)
+    rows = sorted((r.randrange(6), a := r.randrange(300), a + r.randrange(1, 12), r.randrange(5), r.randrange(4)) for _ in range(150))
+    table = pa.table({k: pa.array([x[i] for x in rows], pa.int64()) for i, k in enumerate(("doc_id", "start", "end", "class_id", "keep_doc_id"))})
+    got = [x for b in substring_dedup._merged(iter([*table.to_batches(max_chunksize=size), *table.slice(0, 0).to_batches()])) for x in b.to_pylist()]
+    want = []
+    for doc, a, b, k, d in rows:
+        if not (want and want[-1]["doc_id"] == doc and a <= want[-1]["end"]):
+            want.append({"doc_id": doc, "start": a, "end": b, "links": set()})
+        want[-1]["end"] = max(want[-1]["end"], b)
+        want[-1]["links"].add((k, d))
+    assert [(x["doc_id"], x["start"], x["end"], [tuple(y.values()) for y in x["links"]]) for x in got] == [(x["doc_id"], x["start"], x["end"], sorted(x["links"])) for x in want]
+    assert all(x["class_id"] == min(y["class_id"] for y in x["links"]) and x["keep_doc_id"] == min(y["keep_doc_id"] for y in x["links"]) for x in got)
+    assert list(substring_dedup._merged(iter([]))) == []
+
+
 def test_recall_of_near_passages(spark):
     """Passages whose five-word shingles are 0.8 alike, as lines and inside lines: found at all, against brute force."""
     r = random.Random(12)
