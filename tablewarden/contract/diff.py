@@ -94,8 +94,9 @@ def _column(say, a: Column, b: Column) -> None:
         say(BREAKING if b.required else NON_BREAKING, f"{path}.required", "required added" if b.required else "required dropped")
     _definition(say, f"{path}.description", a.description, b.description)
     if a.pii != b.pii:
-        harmless = a.pii is None and b.pii == "none" or a.pii == "none" and b.pii is None
-        say(COSMETIC if harmless else SEMANTIC, f"{path}.pii", f"pii changed from {a.pii or 'undeclared'} to {b.pii or 'undeclared'}")
+        # that nothing personal is held is first said; taking it back leaves readers without the assurance
+        said = a.pii is None and b.pii == "none"
+        say(COSMETIC if said else SEMANTIC, f"{path}.pii", f"pii changed from {a.pii or 'undeclared'} to {b.pii or 'undeclared'}")
     if a.classification != b.classification:
         say(COSMETIC if a.classification is None else SEMANTIC, f"{path}.classification", f"classification changed from {a.classification or 'undeclared'} to {b.classification or 'undeclared'}")
     if a.stability != b.stability:
@@ -126,15 +127,14 @@ def _checks(say, path: str, old: tuple[Check, ...], new: tuple[Check, ...], key:
             groups.setdefault(key(c), ([], []))[side].append(c)
     for name, (a, b) in groups.items():
         if len(a) == len(b) == 1:
-            _compared(say, f"{path}.{name}", a[0], b[0])
+            _compared(say, f"{path}[{name}]", a[0], b[0])
             continue
-        rest_a, rest_b = list(a), []
+        for c in a:
+            if c not in b:
+                say(NON_BREAKING, f"{path}[{name}]", "check removed")
         for c in b:
-            rest_a.remove(c) if c in rest_a else rest_b.append(c)
-        for _ in rest_a:
-            say(NON_BREAKING, f"{path}.{name}", "check removed")
-        for c in rest_b:
-            say(BREAKING if c.severity == "error" else NON_BREAKING, f"{path}.{name}", f"check added at severity {c.severity}")
+            if c not in a:
+                say(BREAKING if c.severity == "error" else NON_BREAKING, f"{path}[{name}]", f"check added at severity {c.severity}")
 
 
 def _compared(say, path: str, a: Check, b: Check) -> None:

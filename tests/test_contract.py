@@ -215,3 +215,99 @@ def test_consumers():
     assert c.consumers[0].reads_whole_dataset and not c.consumers[1].reads_whole_dataset and c.consumers[1].kind == "ai_agent"
     with pytest.raises(Exception, match="kind"):
         contract("{ a: { type: string } }", "consumers: [{ name: x, kind: nobody }]")
+
+
+COL = "{ a: { type: int%s } }"
+CHECKS = "{ a: { type: %s, checks: [%s] } }"
+INPUT = "settings: { input: { %s } }"
+LAYOUT = "settings: { input: { format: fixed_width, fixed_width: [%s] } }"
+DATED = "{ a: { type: int }, t: { type: datetime } }"
+
+
+@pytest.mark.parametrize(
+    ("columns", "rest", "found"),
+    [
+        ("{}", "", ["error columns"]),
+        (COL % "", "migration: { window_ends: soon, note: '  ' }", ["error migration.window_ends", "warning migration.note"]),
+        (COL % "", "settings: { columns_exact: true, allow_extra_columns: true }", ["warning settings.columns_exact"]),
+        (COL % "", INPUT % "delimiter: ';;'", ["error settings.input.delimiter"]),
+        (COL % "", INPUT % "format: tsv, delimiter: ';'", []),
+        (COL % "", INPUT % "format: json, delimiter: ';'", ["error settings.input.delimiter"]),
+        (COL % "", INPUT % "format: csv, json_path: x", ["error settings.input.json_path"]),
+        (COL % "", INPUT % "format: csv, sheet: x", ["error settings.input.sheet"]),
+        (COL % "", INPUT % "format: csv, xml_record: x", ["error settings.input.xml_record"]),
+        (COL % "", INPUT % "format: json, has_header: true", ["error settings.input.has_header"]),
+        (COL % "", INPUT % "format: parquet, skip_rows: 0", ["error settings.input.skip_rows"]),
+        (COL % "", INPUT % "sheet: x, json_path: y, xml_record: z", []),
+        (COL % "", INPUT % "format: csv, fixed_width: [{ name: a, width: 2 }]", ["error settings.input.fixed_width"]),
+        (COL % "", INPUT % "format: csv, fixed_width: []", []),
+        (COL % "", INPUT % "format: fixed_width", ["error settings.input.fixed_width"]),
+        (COL % "", LAYOUT % "{ name: ' ', width: 1 }, { name: a, width: 1 }", ["error settings.input.fixed_width[0].name"]),
+        (COL % "", LAYOUT % "{ name: a, width: 1 }, { name: a, width: 1 }", ["error settings.input.fixed_width[1].name"]),
+        (COL % "", LAYOUT % "{ name: a, start: 0, end: 3 }", ["error settings.input.fixed_width[0].start"] * 2),
+        (COL % "", LAYOUT % "{ name: a, start: 5, end: 8 }, { name: b, start: 1, end: 3 }", ["error settings.input.fixed_width[1].start"]),
+        (COL % "", LAYOUT % "{ name: a, start: 1, end: 8 }, { name: b, start: 8, width: 1 }", ["error settings.input.fixed_width[1].start"]),
+        (COL % "", LAYOUT % "{ name: a, end: 3, width: 3 }, { name: b, width: 0 }", ["error settings.input.fixed_width[0].width", "error settings.input.fixed_width[1].width"]),
+        (COL % "", LAYOUT % "{ name: a }", ["error settings.input.fixed_width[0]"]),
+        (COL % "", LAYOUT % "{ name: a, start: 5, end: 4 }, { name: b, start: 5, end: 6 }", ["error settings.input.fixed_width[0].end", "error settings.input.fixed_width[1].start"]),
+        (COL % "", LAYOUT % "{ name: b, width: 2 }", ["warning columns.a"]),
+        (COL % "", "consumers: [{ name: ' ', tier: 4 }]", ["error consumers[0].name", "error consumers[0].tier"]),
+        (COL % "", "consumers: [{ name: x, tier: 3, reads: [b, a, b, a, a] }]", ["error consumers[0].reads[0]", "warning consumers[0].reads[2]", "warning consumers[0].reads[3]", "warning consumers[0].reads[4]"]),
+        (COL % ", stability: deprecated, sunset: 2026-13-01", "", ["error columns.a.sunset"]),
+        (COL % ", sunset: 2026-12-01", "", ["warning columns.a.stability"]),
+        (COL % ", stability: deprecated, required: true", "", ["warning columns.a.sunset", "warning columns.a.required"]),
+        (CHECKS % ("string", "unique, unique, { regex: a }, { regex: b }, unique"), "", ["error columns.a.checks[1]", "error columns.a.checks[4]"]),
+        (CHECKS % ("string", "{ regex: 'a(' }"), "", ["error columns.a.checks[0]"]),
+        (CHECKS % ("string", "{ enum: [] }"), "", ["error columns.a.checks[0]"]),
+        (CHECKS % ("string", "{ length: {} }"), "", ["error columns.a.checks[0]"]),
+        (CHECKS % ("string", "{ length: { min: 4, max: 3 } }"), "", ["error columns.a.checks[0]"]),
+        (CHECKS % ("int", "{ null_ratio_max: -0.1 }, { unique_ratio_min: 1.1 }"), "", ["error columns.a.checks[0]", "error columns.a.checks[1]"]),
+        (CHECKS % ("int", "{ null_ratio_max: 0 }, { unique_ratio_min: 1 }"), "", []),
+        (CHECKS % ("int", "{ min: .inf }, { max: .nan }"), "", ["error columns.a.checks[0]", "error columns.a.checks[1]"]),
+        (CHECKS % ("bool", "{ min: 1 }, { max: 2 }"), "", ["error columns.a.checks[0]", "error columns.a.checks[1]"]),
+        (CHECKS % ("date", "{ format: uuid }"), "", ["error columns.a.checks[0]"]),
+        (CHECKS % ("int", "{ max: 2 }, unique, { min: 3 }"), "", ["error columns.a.checks[0]"]),
+        (DATED, "dataset_checks: [{ freshness: { column: t, max_age: 1h } }, { freshness: { column: a, max_age: 1h } }, { freshness: { column: u, max_age: 1h } }]", ["error dataset_checks[1]", "error dataset_checks[2]"]),
+        (DATED, "dataset_checks: [{ null_ratio_max: { column: b, ratio: 2 } }, { unique_ratio_min: { column: a, ratio: -1 } }]", ["error dataset_checks[0]"] * 2 + ["error dataset_checks[1]"]),
+        (DATED, "dataset_checks: [{ references: { columns: [b, a, a], dataset: x, to: [p, q, r] } }]", ["error dataset_checks[0]"] * 2),
+        (DATED, "primary_key: [a]\ndataset_checks: [{ references: { columns: [a], dataset: d, to: [a] } }]", ["warning dataset_checks[0]"]),
+        (DATED, "primary_key: [a, b, a]", ["error primary_key"] * 2),
+    ],
+)
+def test_every_finding_and_its_place(columns, rest, found):
+    assert [f"{f.severity} {f.path}" for f in lint(contract(columns, rest))] == found
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "want"),
+    [
+        (COL % ", pii: email", COL % ", pii: phone", ["semantic columns.a.pii"]),
+        (COL % ", pii: email", COL % ", pii: none", ["semantic columns.a.pii"]),
+        (COL % ", pii: email", COL % "", ["semantic columns.a.pii"]),
+        (COL % ", pii: none", COL % "", ["semantic columns.a.pii"]),
+        (COL % ", pii: none", COL % ", pii: none", []),
+        (COL % ", stability: beta", COL % "", ["non_breaking columns.a.stability"]),
+        (COL % "", COL % ", sunset: 2026-05-01", ["semantic columns.a.sunset"]),
+        (COL % ", sunset: 2026-05-01", COL % "", ["non_breaking columns.a.sunset"]),
+        (COL % ", description: x", COL % "", ["semantic columns.a.description"]),
+        (CHECKS % ("int", "{ min: 1 }"), CHECKS % ("int", "{ min: 2, severity: warn }"), ["non_breaking columns.a.checks[min]"]),
+        (CHECKS % ("int", "{ min: 2, severity: warn }"), CHECKS % ("int", "{ min: 1 }"), ["breaking columns.a.checks[min]"]),
+        (CHECKS % ("int", "{ max: 2 }"), CHECKS % ("int", "{ max: 3 }"), ["non_breaking columns.a.checks[max]"]),
+        (CHECKS % ("int", "{ max: 2 }"), CHECKS % ("int", "{ max: 2.0 }"), []),
+        (CHECKS % ("string", "{ length: 3 }"), CHECKS % ("string", "{ length: { min: 3 } }"), ["non_breaking columns.a.checks[length]"]),
+        (CHECKS % ("string", "{ length: 3 }"), CHECKS % ("string", "{ length: 4 }"), ["breaking columns.a.checks[length]"]),
+        (CHECKS % ("string", "{ length: { min: 2, max: 9 } }"), CHECKS % ("string", "{ length: { min: 1, max: 8 }, severity: warn }"), ["non_breaking columns.a.checks[length]"]),
+        (CHECKS % ("string", "{ enum: [a, b] }"), CHECKS % ("string", "{ enum: [b, a] }"), []),
+        (CHECKS % ("string", "{ enum: [a, b] }"), CHECKS % ("string", "{ enum: [a, c] }"), ["breaking columns.a.checks[enum]"]),
+        (CHECKS % ("string", "{ enum: [a] }"), CHECKS % ("string", "{ enum: [a, c] }"), ["non_breaking columns.a.checks[enum]"]),
+        (CHECKS % ("string", "{ format: email }"), CHECKS % ("string", "{ format: uuid }"), ["breaking columns.a.checks[format]"]),
+        (CHECKS % ("string", "unique"), CHECKS % ("string", "{ unique: { approx: true } }"), ["non_breaking columns.a.checks[unique]"]),
+        (CHECKS % ("string", "{ unique: { approx: true } }"), CHECKS % ("string", "unique"), ["breaking columns.a.checks[unique]"]),
+        (CHECKS % ("int", "{ unique_ratio_min: 0.5 }"), CHECKS % ("int", "{ unique_ratio_min: 0.6 }"), ["breaking columns.a.checks[unique_ratio_min]"]),
+        (CHECKS % ("string", "{ regex: a }, { regex: b }"), CHECKS % ("string", "{ regex: b }, { regex: c }"), ["non_breaking columns.a.checks[regex]", "breaking columns.a.checks[regex]"]),
+        (CHECKS % ("string", "{ regex: a }, { regex: a }"), CHECKS % ("string", "{ regex: a }"), []),
+        (CHECKS % ("string", "not_empty_string"), CHECKS % ("string", "{ regex: a, severity: warn }"), ["non_breaking columns.a.checks[not_empty_string]", "non_breaking columns.a.checks[regex]"]),
+    ],
+)
+def test_every_change_and_its_place(old, new, want):
+    assert [f"{c.impact} {c.path}" for c in diff(contract(old), contract(new))] == want
