@@ -204,10 +204,11 @@ def _tree_links(sets: DataFrame, percent: int, task_shingles: int) -> DataFrame:
     sizes = sets.groupBy("component").agg(F.sum("n").alias("total"))
     total = sizes.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     bins = max(int(total // task_shingles) * 2, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # groups beyond a task's size: fewer than tasks, so their list is small
+    # groups beyond a task's size: fewer than tasks, and broadcast only if their list is small by its bytes
     large = stored(sizes.where(F.col("total") > task_shingles), "large-groups")
     some = not large.isEmpty()
-    whole = sets.join(F.broadcast(large.select("component")), "component", "left_anti") if some else sets
+    listed = large.select("component")
+    whole = sets.join(F.broadcast(listed) if bytes_of(large) <= BROADCAST_BYTES else listed, "component", "left_anti") if some else sets
     whole = whole.withColumn("label", F.col("node")).withColumn("task", F.pmod(F.xxhash64("component"), F.lit(bins)))
     fields = ["component", "node", "label", "values"]
     found = stored(whole.select("task", *fields).groupBy("task").applyInArrow(task, "u long, v long"), "links")
